@@ -74,30 +74,24 @@ def quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], probs: Ma
     counts = _value_counts(long, by, "value")
     starts = _bucket_starts(counts, by)
 
-    def spot(p: float) -> Column:
-        return F.lit(p) * (F.col("n") - 1)
-
-    wanted = F.lit(False)
-    for p in probs.values():
-        for rank in (F.floor(spot(p)), F.ceil(spot(p))):
-            wanted = wanted | ((rank >= F.col("start")) & (rank < F.col("start") + F.col("in_bucket")))
+    # The expressions are SQL text: one call to the JVM each, where chained Column calls cost one per step.
+    ranks = {p: (f"floor({p}D * (n - 1))", f"ceil({p}D * (n - 1))") for p in probs.values()}
+    wanted = " or ".join(
+        f"({rank} >= start and {rank} < start + in_bucket)" for pair in ranks.values() for rank in sorted(set(pair))
+    )
     placed = _place(counts, starts.where(wanted), by, "value")
 
-    def at(metric: str, rank: Column) -> Column:
-        hit = (F.col("metric") == metric) & (F.col("below") <= rank) & (rank < F.col("below") + F.col("held"))
-        return F.max(F.when(hit, F.col("value")))
-
     aggs, outputs = [], []
     for c in cols:
-        size = F.max(F.when(F.col("metric") == c, F.col("n")))
-        aggs.append(size.alias(f"__n_{c}"))
+        aggs.append(F.expr(f"max(case when metric = '{c}' then n end) as `__n_{c}`"))
         for label, p in probs.items():
-            low, high = f"__lo_{c}_{label}", f"__hi_{c}_{label}"
-            aggs += [at(c, F.floor(spot(p))).alias(low), at(c, F.ceil(spot(p))).alias(high)]
-            exact = F.lit(p) * (F.col(f"__n_{c}") - 1)
-            step = (F.col(high) - F.col(low)) * (exact - F.floor(exact))
-            outputs.append((F.col(low) + step).alias(f"{c}_{label}"))
-    return placed.groupBy(*keys).agg(*aggs).select(*keys, *outputs)
+            low, high = f"`__lo_{c}_{label}`", f"`__hi_{c}_{label}`"
+            for name, rank in zip((low, high), ranks[p], strict=True):
+                hit = f"metric = '{c}' and below <= {rank} and {rank} < below + held"
+                aggs.append(F.expr(f"max(case when {hit} then value end) as {name}"))
+            exact = f"{p}D * (`__n_{c}` - 1)"
+            outputs.append(f"{low} + ({high} - {low}) * ({exact} - floor({exact})) as `{c}_{label}`")
+    return placed.groupBy(*keys).agg(*aggs).selectExpr(*keys, *outputs)
 
 
 def rank_descending(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
