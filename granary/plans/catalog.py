@@ -1,7 +1,9 @@
 """All registered queries."""
 
 from granary.plans import (  # noqa: F401
+    queries_forecast,
     queries_fraud,
+    queries_scores,
 )
 from granary.plans.registry import QUERIES
 

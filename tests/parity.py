@@ -12,6 +12,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 DATA = "/root/testdata"
+TIMES: dict[str, float] = {}
 
 
 def connect(sf_dir: str):
@@ -48,7 +49,9 @@ def duck_rows(con, sql):
 
 def compare(spark, con, entry, sf_dir):
     """(problem or None, number of rows)."""
+    start = time.time()
     cols, got = spark_rows(entry.plan(spark, sf_dir))
+    TIMES[entry.name] = time.time() - start
     if entry.sql is None:
         return None, len(got)
     names, want = duck_rows(con, entry.sql)
@@ -90,7 +93,7 @@ def main(argv):
         except Exception as exc:  # report and go on
             problem, n = f"{type(exc).__name__}: {str(exc)[:1500]}", -1
         kind = "sql " if QUERIES[name].sql else "rows"
-        print(f"{'FAIL' if problem else 'ok  '} {kind} {name:36s} {n:7d} rows {time.time() - start:6.2f}s", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {kind} {name:36s} {n:7d} rows, spark {TIMES.get(name, -1):6.2f}s all {time.time() - start:6.2f}s", flush=True)
         if problem:
             bad += 1
             print("   ", problem, flush=True)
