@@ -1,15 +1,18 @@
-"""Inputs several queries share. Features are persisted: every detector reads them."""
+"""Inputs several queries share, kept as checkpoints: every detector reads the features.
+
+A cache instead would put the whole history of each table into every later plan.
+"""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.features import outlet_features, with_baseline
 from granary.operators.statistical import score_outlets
+from granary.session import cut
 from granary.sources import fixtures
 
 # Thresholds that fire for some but not most outlets of the test tables (FIXTURES.md).
@@ -19,8 +22,8 @@ RULE_LIMITS = {**LIMITS, "low_rate": 0.25, "low_min_cards": 20, "spike_factor":
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Lazy cache that spills to disk; a lost executor's part is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Materialise in the shared folder; survives the loss of any executor."""
+    return cut(df)
 
 
 @lru_cache(maxsize=16)
