@@ -3,7 +3,11 @@
 from granary.plans import (  # noqa: F401
     queries_forecast,
     queries_fraud,
+    queries_planning,
+    queries_reports,
     queries_scores,
+    queries_sources,
+    queries_text,
 )
 from granary.plans.registry import QUERIES
 
