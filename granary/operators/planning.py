@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.columns import half_even
 from granary.functions.order_stats import running_total
+from granary.session import cut
 
 # Objective weights and limits (defaults).
 ALPHA, BETA, GAMMA, DELTA = 0.25, 0.35, 0.25, 0.15
@@ -47,6 +48,7 @@ def _prepare(rows: DataFrame) -> DataFrame:
         F.expr("count(1) as __areas"),
         F.expr("max(unit_cost) as __max_cost"),
         F.expr("sum(greatest(demand_mean - inventory, 0D)) as __short"),
+        F.expr("count_if(__must) as __musts"),
     )
     cv = "case when demand_mean > 0 then demand_std / demand_mean else 0D end"
     aim = f"case policy when 'risk_averse' then demand_mean + {Z_95}D * demand_std else demand_mean end"
@@ -69,7 +71,8 @@ def _amounts(rows: DataFrame) -> DataFrame:
     With one shared supply the linear programmes are solved exactly by serving areas in order of
     benefit, so a running total replaces the solver.
     """
-    rows = running_total(_prepare(rows), ["scenario", "policy", "period"], "__order", "area", "__take", "__used")
+    # Every total is a self-join; cutting here keeps the plan from doubling with each of them.
+    rows = cut(running_total(_prepare(rows), ["scenario", "policy", "period"], "__order", "area", "__take", "__used"))
     level = "least(1D, supply / case when __short > 0 then __short end)"
     rows = rows.withColumn(
         "__even", F.expr(f"case policy when 'equity_first' then greatest(0D, {level} * demand_mean - inventory) end")
@@ -92,10 +95,10 @@ def _fit_to_supply(rows: DataFrame) -> DataFrame:
     return out.withColumn("x", F.expr("case when __total > supply and __total > 0 then x * supply / __total else x end"))
 
 
-def _inspections(rows: DataFrame, cost: float, above: float) -> DataFrame:
+def _inspections(rows: DataFrame, cost: float) -> DataFrame:
     """Areas to inspect: risky ones always, then by return on cost while the budget lasts."""
     gain = f"case when x > 0 then risk * x / ({cost}D + unit_cost * x + 1e-9D) else 0D end"
-    out = rows.withColumns({"__must": F.expr(f"risk > {above}D"), "__gain": F.expr(gain)})
+    out = rows.withColumn("__gain", F.expr(gain))
     out = out.withColumns(
         {
             "__choice": F.expr("cast(not __must and __gain > 0 as int)"),
@@ -103,7 +106,6 @@ def _inspections(rows: DataFrame, cost: float, above: float) -> DataFrame:
         }
     )
     out = running_total(out, ["scenario", "policy", "period"], "__rank", "area", "__choice", "__place")
-    out = _with_totals(out, F.expr("count_if(__must) as __musts"))
     return out.withColumn(
         "inspect", F.expr(f"__must or (__choice = 1 and __musts + __place <= floor(budget / {cost}D))")
     )
@@ -126,7 +128,8 @@ def allocate(
     rows = plan.join(periods.select(*KEY, "supply", "budget"), KEY).withColumn(
         "policy", F.explode(F.array(*[F.lit(p) for p in policies]))
     )
-    out = _inspections(_fit_to_supply(_amounts(rows)), cost, above)
+    rows = rows.withColumn("__must", F.expr(f"risk > {above}D"))
+    out = _inspections(cut(_fit_to_supply(_amounts(rows))), cost)
     return out.withColumn("scenario", F.concat_ws("/", "scenario", "policy")).select(
         *plan.columns, "policy", "supply", "budget", "x", "inspect"
     )

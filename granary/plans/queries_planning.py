@@ -231,7 +231,7 @@ def q_demand(spark, d):
        list_extract([0.91, 0.88, 0.87, 0.89, 0.91, 0.93, 0.94, 0.95, 0.93, 0.91, 0.90, 0.91]::double[], period % 12 + 1) else 0.91::double end as supply
       from dplan group by period""",
     doubles=["supply"],
-    digits=4,
+    digits=6,
 )
 def q_schedule(spark, d):
     return pl.supply_schedule(demand(spark, d))
