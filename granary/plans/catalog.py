@@ -4,6 +4,7 @@ from granary.plans import (  # noqa: F401
     queries_forecast,
     queries_fraud,
     queries_geo,
+    queries_models,
     queries_planning,
     queries_reports,
     queries_scores,
