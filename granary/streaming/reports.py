@@ -104,10 +104,13 @@ FLAG_OUTPUT = "outlet_id string, alert_id string, detected_at timestamp, earlier
 FLAG_STATE = "recent array<bigint>"
 
 
-def repeat_flags(alerts: DataFrame, forget_after_ms: int = 90 * 24 * 3600 * 1000) -> DataFrame:
+def repeat_flags(
+    alerts: DataFrame, watermark: str = WATERMARK, forget_after_ms: int = 90 * 24 * 3600 * 1000
+) -> DataFrame:
     """Each alert with the number of earlier flags of its outlet, at most the last hundred.
 
-    State per outlet is the times of its last flags; it is dropped when the outlet stays quiet.
+    State per outlet is the times of its last flags; it is dropped when the watermark is that far
+    past the last of them.
     Alerts of one batch are taken in order of event time. The input is de-duplicated alerts, a
     handful per outlet, not raw lifts.
     """
@@ -119,11 +122,11 @@ def repeat_flags(alerts: DataFrame, forget_after_ms: int = 90 * 24 * 3600 * 1000
         recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["detected_at", "alert_id"])
         counts = []
-        for moment in rows.detected_at.astype("int64"):
+        for moment in rows.detected_at:
             counts.append(len(recent))
-            recent = [*recent, int(moment)][-KEPT_FLAGS:]
+            recent = [*recent, int(moment.timestamp() * 1000)][-KEPT_FLAGS:]
         state.update((recent,))
-        state.setTimeoutDuration(forget_after_ms)
+        state.setTimeoutTimestamp(max(max(recent), state.getCurrentWatermarkMs()) + forget_after_ms)
         yield pd.DataFrame(
             {
                 "outlet_id": key[0],
@@ -136,8 +139,9 @@ def repeat_flags(alerts: DataFrame, forget_after_ms: int = 90 * 24 * 3600 * 1000
 
     return (
         alerts.select("outlet_id", "alert_id", F.col("detected_at").cast("timestamp").alias("detected_at"))
+        .withWatermark("detected_at", watermark)
         .groupBy("outlet_id")
-        .applyInPandasWithState(step, FLAG_OUTPUT, FLAG_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(step, FLAG_OUTPUT, FLAG_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -171,6 +175,9 @@ def forecast_errors(actuals: DataFrame, forecasts: DataFrame, retrain_above: flo
     )
 
 
-def drain(writer) -> None:
-    """Process what is there now, then stop."""
-    writer.trigger(availableNow=True).start().awaitTermination()
+def drain(writer, timeout_s: int = 600) -> None:
+    """Process what is there now, then stop; a query that does not end in time is an error."""
+    running = writer.trigger(availableNow=True).start()
+    if not running.awaitTermination(timeout_s):
+        running.stop()
+        raise TimeoutError("the stream did not finish")
