@@ -13,8 +13,12 @@ from granary.sources import normalise
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, audit: bool = False) -> DataFrame:
-    """CSV with a header; malformed rows are dropped, or kept in ``_corrupt_record`` for an audit."""
-    reader = spark.read.option("header", True).option("ignoreCorruptFiles", True)
+    """CSV with a header; malformed rows are dropped, or kept in ``_corrupt_record`` for an audit.
+
+    The parser reads whole rows: with pruned columns it would not see that a row is malformed, and
+    the row count would depend on the columns a query uses.
+    """
+    reader = spark.read.option("header", True).option("ignoreCorruptFiles", True).option("columnPruning", False)
     if audit:
         full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
         return (
