@@ -146,7 +146,7 @@ def load_table(spark: SparkSession, folder: str, kind: str) -> DataFrame:
         "members": ("members", "card_status_*.csv", normalise.members),
     }
     master, pattern, prepare = names[kind]
-    if list_files(spark, f"{folder}/{master}/_SUCCESS"):
+    if list_files(spark, f"{folder}/{master}"):
         return prepare(spark.read.parquet(f"{folder}/{master}"))
     raw = read_many(spark, f"{folder}/{pattern}")
     if raw is None:
