@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from granary.functions.columns import coordinates_known, finite_or_null
-from granary.plans.registry import query
+from granary.functions.columns import coordinates_known, finite_or_null, half_even
+from granary.plans.registry import QUERIES, query
 from granary.plans.sql import LIFTS, OUTLETS, with_
+from granary.session import shared_dir
 from granary.sources import files, fixtures, normalise
 
 # Published name of each item column in the raw-looking wide table.
@@ -232,3 +235,51 @@ def q_changes(spark, d):
         )
 
     return files.snapshot_changes(snapshot(0.0), snapshot(500.0))
+
+
+LONG_SQL = QUERIES["lifts_from_wide_files"].sql
+
+
+@query("lifts_from_csv_files", "A1 A2", LONG_SQL)
+def q_from_csv(spark, d):
+    """The wide table written as CSV files, read back by pattern and normalised."""
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    raw_wide(spark, d).write.option("header", True).csv(folder)
+    raw = files.read_many(spark, f"{folder}/part-*.csv")
+    return normalise.lifts(raw).select(
+        "lift_id", "outlet_id", "region", "item", "card_id", "status", "quantity", "lift_ts", "total_cards", "verified"
+    )
+
+
+@query(
+    "lifts_from_master_table",
+    "A3 A10",
+    with_(LIFTS)
+    + """select outlet_id, cast(date_trunc('month', lift_ts) as date) as month, count(*) as lifts, sum(quantity) as quantity from lifts group by 1, 2""",
+)
+def q_from_master(spark, d):
+    """Lifts written as a master table by month; the master comes before monthly files."""
+    folder = f"{shared_dir(spark)}/master-{uuid.uuid4().hex}"
+    lifts = fixtures.lifts(spark, d)
+    files.write_master(lifts.withColumns({"year": F.year("lift_ts"), "month": F.month("lift_ts")}), folder, "lifts")
+    return (
+        files.load_table(spark, folder, "lifts")
+        .groupBy("outlet_id", F.trunc(F.to_date("lift_ts"), "month").alias("month"))
+        .agg(F.count(F.lit(1)).alias("lifts"), F.sum("quantity").alias("quantity"))
+    )
+
+
+@query(
+    "half_even_rounding",
+    "F6",
+    """select o_orderkey as id, round_even(o_orderkey / 2.0::double, 0) as halves, round_even(o_orderkey / 8.0::double * 100, 0) / 100 as eighths,
+       round_even(o_totalprice * 10, 0) / 10 as price from orders""",
+)
+def q_half_even(spark, d):
+    """Ties of halves and eighths go to the even neighbour."""
+    return fixtures.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        half_even(F.col("o_orderkey") / 2).alias("halves"),
+        half_even(F.col("o_orderkey") / 8, 2).alias("eighths"),
+        half_even("o_totalprice", 1).alias("price"),
+    )
