@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,17 +19,20 @@ class Query:
     covers: tuple[str, ...]
     plan: Plan
     sql: str | None
-    digits: int | None
 
 
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, covers: str, sql: str | None = None, doubles: Sequence[str] = (), digits: int = 9):
+def query(
+    name: str, covers: str, sql: str | None = None, doubles: Sequence[str] | Mapping[str, int] = (), digits: int = 9
+):
     """Register a plan. ``covers`` lists inventory ids, ``doubles`` the columns rounded on both sides.
 
-    Sums of doubles depend on the order of addition, so they are compared after rounding.
+    Sums of doubles depend on the order of addition, so they are compared after rounding: to
+    ``digits`` decimals, or to those given per column.
     """
+    places = dict(doubles) if isinstance(doubles, Mapping) else dict.fromkeys(doubles, digits)
 
     def wrap(plan: Plan) -> Plan:
         if name in QUERIES:
@@ -37,16 +40,15 @@ def query(name: str, covers: str, sql: str | None = None, doubles: Sequence[str]
 
         def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = plan(spark, sf_dir)
-            if not doubles:
+            if not places:
                 return df
-            return df.withColumns({c: half_even(c, digits) + F.lit(0.0) for c in doubles})
+            return df.withColumns({c: half_even(c, n) + F.lit(0.0) for c, n in places.items()})
 
         text = sql
-        if sql is not None and doubles:
-            scale = f"1e{digits}"
-            swaps = ", ".join(f"round_even({c} * {scale}, 0) / {scale} + 0.0::double as {c}" for c in doubles)
+        if sql is not None and places:
+            swaps = ", ".join(f"round_even({c} * 1e{n}, 0) / 1e{n} + 0.0::double as {c}" for c, n in places.items())
             text = f"select * replace ({swaps}) from ({sql}) as result"
-        QUERIES[name] = Query(name, tuple(covers.split()), rounded, text, digits if doubles else None)
+        QUERIES[name] = Query(name, tuple(covers.split()), rounded, text)
         return plan
 
     return wrap
