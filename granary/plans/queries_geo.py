@@ -9,7 +9,7 @@ from granary.operators import reports as rp
 from granary.operators.alerts import max_score
 from granary.plans import inputs
 from granary.plans.queries_fraud import ALERT_CTES, rule_and_statistical_alerts
-from granary.plans.queries_scores import GAP_CTES, MIX, DEMAND, GAPS, gaps
+from granary.plans.queries_scores import DEMAND, GAPS, MIX, gaps
 from granary.plans.registry import query
 from granary.plans.sql import FEATURE_CTES, MEMBERS, OUTLETS, with_
 from granary.plans.sql import half_even as r

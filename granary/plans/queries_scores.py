@@ -13,7 +13,7 @@ from granary.operators.forecast import monthly_series
 from granary.plans import inputs
 from granary.plans.queries_fraud import ALERT_CTES, rule_and_statistical_alerts
 from granary.plans.registry import query
-from granary.plans.sql import FEATURE_CTES, LIFTS, with_
+from granary.plans.sql import FEATURE_CTES, with_
 from granary.plans.sql import half_even as r
 from granary.sources import fixtures
 
