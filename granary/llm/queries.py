@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import substring
+from granary.llm import language, minhash, quality, substring
 
 Plan = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +20,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 SUBSTRING_SQL = rf"""
 with words as (
     select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents
@@ -40,10 +52,40 @@ select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n
 from words left join joined using (doc_id)
 """
 
+MINHASH_SQL = rf"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w
+    from documents
+), shingles as (
+    select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+    from (select doc_id, w, unnest(range(1, case when len(w) = 0 then 1 else greatest(len(w) - 3, 2) end)) as i from words)
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), links as (
+    select p.a, p.b
+    from (select x.doc_id as a, y.doc_id as b, count(*) as k from shingles x join shingles y using (s)
+          where x.doc_id <> y.doc_id group by 1, 2) p
+    join sizes m on m.doc_id = p.a join sizes n on n.doc_id = p.b
+    where 100 * k >= 75 * (m.n + n.n - k)
+), reach(a, b) as (
+    select doc_id, doc_id from documents
+    union
+    select r.a, l.b from reach r join links l on l.a = r.b
+), least as (
+    select a as doc_id, min(b) as component_id from reach group by a
+)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from least left join sizes using (doc_id)
+"""
+
 QUERIES: dict[str, Plan] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op5_minhash_dedup": op5_minhash_dedup,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_SQL,
+    "op5_minhash_dedup": MINHASH_SQL,
 }
