@@ -8,7 +8,8 @@ bits after the leading one. Four registers make a band of 64 bits, which is its
 2. *Stars.* In every bucket of a band each class is compared with the smallest one: a number of pairs linear in
    the bucket, however large a group of copies is.
 3. *The rest.* Where a bucket still holds several components, classes of different components are compared in
-   blocks of bounded size. Pairs inside a component cannot change the result and are left out.
+   blocks of bounded size, by sketches and then, inside the block, by whole sets. Pairs inside a component
+   cannot change the result and are left out; no pairs are emitted but links.
 
 A pair is first judged by the estimated similarity, corrected for chance collisions of registers, then
 confirmed by the exact counts. With 32 bands of 4 registers a pair at 0.75 is missed with probability
@@ -173,52 +174,98 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, sprea
     return both.mapInArrow(_verify(size, percent), "a long, b long")
 
 
-def _block_pairs(threshold: float):
-    """Plausible pairs between the two sides of each block, of different components."""
+KEYS = ["band", "value", "i", "j"]
 
-    def compare(rows: pa.Table):
-        side = rows.column("side").to_numpy()
-        doc, comp, n = (rows.column(c).to_numpy() for c in ("rep", "component", "n"))
-        registers = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        for i in left.tolist():
-            low, high = np.minimum(n[i], n[right]), np.maximum(n[i], n[right])
-            near = right[(comp[right] != comp[i]) & (low >= threshold * high)]
-            if len(near):
-                near = near[estimate(registers[near], registers[i], n[near], n[i]) >= threshold - SLACK]
-                yield np.maximum(doc[near], doc[i]), np.minimum(doc[near], doc[i])
 
-    def flush(rows: pa.Table):
-        found = list(compare(rows))
-        if found:
-            both = np.unique(np.stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])], axis=1), axis=0)
-            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def _groups(batches):
+    """Whole blocks from batches sorted by block; no block has more rows than two sides of ``BLOCK``."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        change = np.zeros(table.num_rows - 1, dtype=bool)
+        for k in KEYS:
+            x = table.column(k).to_numpy()
+            change |= x[1:] != x[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield table.slice(a, b - a)
+        held = table.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def _open_pairs(rows: pa.Table, threshold: float):
+    """For each row of the first side the rows of the other that may be linked with it and nothing else yet tells.
+
+    A pair belongs to the first band that it shares, so it comes up in one block only.
+    """
+    side = rows.column("side").to_numpy()
+    component, n = rows.column("component").to_numpy(), rows.column("n").to_numpy()
+    registers = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
+    bands = registers.view(np.int64)
+    band = rows.column("band")[0].as_py()
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0).tolist():
+        low, high = np.minimum(n[i], n[right]), np.maximum(n[i], n[right])
+        near = right[(component[right] != component[i]) & (low >= threshold * high)]
+        near = near[((bands[near] == bands[i]) & (bands[i] != 0)).argmax(axis=1) == band]
+        near = near[estimate(registers[near], registers[i], n[near], n[i]) >= threshold - SLACK]
+        if len(near):
+            yield i, near
+
+
+def _open_rows(threshold: float):
+    """The rows of each block that have an open pair."""
+
+    def run(batches):
+        for rows in _groups(batches):
+            used = np.zeros(rows.num_rows, dtype=bool)
+            for i, near in _open_pairs(rows, threshold):
+                used[i] = True
+                used[near] = True
+            if used.any():
+                yield from rows.select([*KEYS, "side", "rep", "component"]).filter(pa.array(used)).combine_chunks().to_batches()
+
+    return run
 
-    keys = ["band", "value", "i", "j"]
+
+def _block_links(size: int, percent: int):
+    """Exact comparison of the open pairs of a block: one link to each component that a row reaches."""
 
     def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            if not table.num_rows:
-                continue
-            change = np.zeros(table.num_rows - 1, dtype=bool)
-            for k in keys:
-                x = table.column(k).to_numpy()
-                change |= x[1:] != x[:-1]
-            cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
-            for a, b in zip(cuts, cuts[1:]):
-                yield from flush(table.slice(a, b - a))
-            held = table.slice(cuts[-1])
-        if held is not None:
-            yield from flush(held)
+        for rows in _groups(batches):
+            sets = []
+            for piece in pieces(rows.combine_chunks().to_batches(), "text"):
+                sets += shingle_sets(piece.column("text"), size)
+            rep, component = rows.column("rep").to_numpy(), rows.column("component").to_numpy()
+            length = np.array([len(s) for s in sets], dtype=np.int64)
+            a, b = [], []
+            for i, near in _open_pairs(rows, percent / 100):
+                others = np.concatenate([sets[k] for k in near.tolist()])
+                place = np.minimum(np.searchsorted(sets[i], others), max(len(sets[i]) - 1, 0))
+                same = sets[i][place] == others if len(sets[i]) else np.zeros(len(others), dtype=bool)
+                total = np.append(0, np.cumsum(same))
+                ends = np.append(0, np.cumsum(length[near]))
+                both = total[ends[1:]] - total[ends[:-1]]
+                linked = near[100 * both >= percent * (length[near] + length[i] - both)]
+                for k in linked[np.unique(component[linked], return_index=True)[1]].tolist():
+                    a.append(max(rep[i], rep[k]))
+                    b.append(min(rep[i], rep[k]))
+            if a:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _blocks(classes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of classes that share a band but no component yet."""
+def _links_across(classes: DataFrame, components: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes that share a band but no component yet.
+
+    Sketches first tell which rows of a block have an open pair; only their texts are fetched.
+    """
+    threshold = percent / 100
     named = classes.join(components, classes["rep"] == components["vertex"], "left").select(
         "rep", "n", F.coalesce("component", "rep").alias("component"), "sketch"
     )
@@ -241,9 +288,11 @@ def _blocks(classes: DataFrame, components: DataFrame, threshold: float) -> Data
     right = inside.select(
         "band", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).alias("i"), F.pmod(spot, "many").alias("j"), F.lit(1).alias("side"), "rep"
     )
-    rows = left.unionByName(right).join(named, "rep")
-    rows = rows.repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
-    return rows.mapInArrow(_block_pairs(threshold), "a long, b long").distinct()
+    rows = left.unionByName(right).join(named, "rep").repartition(*KEYS).sortWithinPartitions(*KEYS)
+    few = rows.mapInArrow(_open_rows(threshold), "band int, value long, i long, j long, side int, rep long, component long")
+    whole = few.join(named.select("rep", "n", "sketch"), "rep").join(texts, F.col("rep") == texts["doc"])
+    whole = whole.select(*KEYS, "side", "rep", "component", "n", "sketch", "text").repartition(*KEYS).sortWithinPartitions(*KEYS)
+    return whole.mapInArrow(_block_links(size, percent), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -277,8 +326,7 @@ def near_duplicates(
     likely = stars.join(one, "a").join(two, "b").mapInArrow(_plausible(threshold), "a long, b long").distinct()
     links = stored(confirmed(stored(likely, "likely"), texts, words, percent), "links")
     components = connected_components(links)
-    rest = stored(_blocks(close, components, threshold), "rest")
-    more = stored(confirmed(rest, texts, words, percent), "links")
+    more = stored(_links_across(close, components, texts, words, percent), "links")
     if not more.isEmpty():
         components = connected_components(links.unionByName(more))
     found = classes.select("high", "low", "rep").join(components, F.col("rep") == F.col("vertex"), "left")
