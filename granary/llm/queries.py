@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import language, minhash, quality, substring
+from granary.llm import decontaminate, language, lines, minhash, pieces, quality, substring, token_store
 
 Plan = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,14 +24,38 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer file; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, shards = token_store.write(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_store.read(spark, folder, shards)
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
 SUBSTRING_SQL = rf"""
 with words as (
     select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents
@@ -78,14 +102,44 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = comp
 from least left join sizes using (doc_id)
 """
 
+LINES_SQL = r"""
+with lines as (
+    select doc_id, source, i, string_split(text, chr(10))[i] as line
+    from (select doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null)
+), marked as (
+    select *, trim(line) as t, len(regexp_extract_all(trim(line), '[^ \t\x0B\f\r]+')) >= 3 as fit from lines
+), spread as (
+    select t from marked where fit group by t having count(distinct source) >= 10
+), decided as (
+    select m.*, fit and t in (select t from spread) as gone from marked m
+), docs as (
+    select doc_id, count(*) as n_lines, count_if(gone) as n_gone,
+        2 * sum(case when gone then 0 else length(t) end) < sum(length(t)) and count_if(gone) > 0 as mostly_shared
+    from decided group by doc_id
+), texts as (
+    select d.doc_id, coalesce(string_agg(line, chr(10) order by i) filter (where mostly_shared or not gone), '') as kept
+    from decided d join docs using (doc_id) group by d.doc_id
+)
+select doc_id, n_lines::bigint as n_lines, (case when mostly_shared then 0 else n_gone end)::bigint as n_removed,
+    mostly_shared, sha256(kept) as kept_sha256
+from docs join texts using (doc_id)
+union all
+select doc_id, 0, 0, false, sha256('') from documents where text is null
+"""
+
 QUERIES: dict[str, Plan] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_token_store": op4_token_store,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_decontamination": op6_decontamination,
     "op8_language_id": op8_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_SQL,
     "op5_minhash_dedup": MINHASH_SQL,
+    "op10_line_dedup": LINES_SQL,
 }
