@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontaminate, language, lines, minhash, pieces, quality, substring, token_store
+from granary.llm import decontaminate, html_text, language, lines, minhash, pieces, quality, substring, token_store, vectors
 
 Plan = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,10 +48,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_table(spark, sf_dir, "documents"))
 
@@ -127,6 +135,26 @@ union all
 select doc_id, 0, 0, false, sha256('') from documents where text is null
 """
 
+VECTOR_SQL = """
+with recursive v as (
+    select vec_id, label, embedding::double[] as x from embeddings
+    where label is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, y -> y is not null and isfinite(y)))
+        and list_bool_or(list_transform(embedding, y -> y <> 0))
+), links as (
+    select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.x) = len(b.x) and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.x, b.x) >= 0.98
+), reach(a, b) as (
+    select vec_id, vec_id from embeddings
+    union
+    select r.a, l.b from reach r join links l on l.a = r.b
+), least as (
+    select a as vec_id, min(b) as component_id from reach group by a
+), counts as (
+    select a as vec_id, count(*) as n from links group by a
+)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from least left join counts using (vec_id)
+"""
+
 QUERIES: dict[str, Plan] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -134,12 +162,15 @@ QUERIES: dict[str, Plan] = {
     "op4_token_store": op4_token_store,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_language_id": op8_language_id,
+    "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_SQL,
     "op5_minhash_dedup": MINHASH_SQL,
+    "op7_embedding_dedup": VECTOR_SQL,
     "op10_line_dedup": LINES_SQL,
 }
