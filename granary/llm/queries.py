@@ -138,8 +138,8 @@ select doc_id, 0, 0, false, sha256('') from documents where text is null
 VECTOR_SQL = """
 with recursive v as (
     select vec_id, label, embedding::double[] as x from embeddings
-    where label is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, y -> y is not null and isfinite(y)))
-        and list_bool_or(list_transform(embedding, y -> y <> 0))
+    where label is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda y: y is not null and isfinite(y)))
+        and list_bool_or(list_transform(embedding, lambda y: y <> 0))
 ), links as (
     select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.x) = len(b.x) and a.vec_id <> b.vec_id
     where list_cosine_similarity(a.x, b.x) >= 0.98
