@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from granary.llm import decontaminate, language, lines, minhash, pieces
 from granary.llm.queries import vocabulary
 from granary.llm.samples import fold
-from granary.llm.store import stored
+from granary.llm.store import stored, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Ambiguous texts stay under the likeliest language: most are merely short.
     """
     model = language.train(docs.select("doc_id", "text", "lang").where(fold("doc_id") != 0))
-    found = language.predict(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    label, score, ambiguous = unused(docs.columns, "lang_pred", "score", "ambiguous")
+    found = language.predict(docs, model, added=(label, score, ambiguous)).where(F.col(label) != language.UNKNOWN)
+    return found.withColumn("lang", F.col(label)).select(*docs.columns)
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

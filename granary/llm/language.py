@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.llm.samples import fold, sampled_ids
 from granary.llm.text import Texts, pieces
@@ -139,10 +140,10 @@ def train(docs: DataFrame, lang_col: str = "lang", per_language: int = 400, ridg
     return LanguageModel(languages, code, weights.astype(np.float32), offset, trust / trust.sum())
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, lead: float = 0.2) -> DataFrame:
-    """All columns of ``docs`` (text among them) with lang_pred, score and ambiguous."""
-    taken = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    docs = docs.select(*taken)
+def predict(
+    docs: DataFrame, model: LanguageModel | None, lead: float = 0.2, added: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")
+) -> DataFrame:
+    """All columns of ``docs`` (text among them), then predicted language, score and ambiguity under the names ``added``."""
     names = list(model.languages) if model else []
 
     def run(batches):
@@ -157,11 +158,13 @@ def predict(docs: DataFrame, model: LanguageModel | None, lead: float = 0.2) ->
             score = np.where(letters, chance.max(axis=1), 0.0)
             second = np.sort(chance, axis=1)[:, -2] if chance.shape[1] > 1 else np.zeros(len(letters))
             label = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
-            added = [pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(letters & (score - second < lead))]
-            yield pa.record_batch([*piece.columns, *added], names=[*taken, "lang_pred", "score", "ambiguous"])
+            more = [pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(letters & (score - second < lead))]
+            yield pa.record_batch([*piece.columns, *more], names=[*piece.schema.names, *added])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    schema = T.StructType(list(docs.schema.fields))
+    for name, kind in zip(added, (T.StringType(), T.DoubleType(), T.BooleanType())):
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> DataFrame:

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.store import unused
+
 #: Registers 2^12: standard error 1.04 / 64; four errors on each side are counted exactly.
 LOG_REGISTERS = 12
 ERROR = 4 * 1.04 / 2 ** (LOG_REGISTERS / 2)
@@ -52,37 +54,38 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("key"))
 
 
-def _marked(docs: DataFrame, text_col: str, site_col: str, min_sites: int, min_words: int, tag: Column) -> DataFrame:
-    """``docs`` with ``_drop``: the keys of the boilerplate lines of the row, null if it has none."""
-    docs = docs.withColumn("_row", tag)
+def _marked(docs: DataFrame, text_col: str, site_col: str, min_sites: int, min_words: int, row: str, drop: str) -> DataFrame:
+    """``docs``, tagged in column ``row``, with ``drop``: the keys of the row's boilerplate lines, null if it has none."""
     found = boilerplate(docs, text_col, site_col, min_sites, min_words)
-    line = docs.where(F.col(text_col).isNotNull()).select("_row", F.explode(F.split(text_col, "\n")).alias("line"))
-    line = line.where(_words(F.col("line")) >= min_words).select("_row", _key(F.col("line")).alias("key"))
-    hits = line.join(found, "key").groupBy("_row").agg(F.collect_set("key").alias("_drop"))
-    return docs.join(hits, "_row", "left")
+    line = docs.where(F.col(text_col).isNotNull()).select(F.col(row).alias("tag"), F.explode(F.split(text_col, "\n")).alias("line"))
+    line = line.where(_words(F.col("line")) >= min_words).select("tag", _key(F.col("line")).alias("key"))
+    hits = line.join(found, "key").groupBy(F.col("tag").alias(row)).agg(F.collect_set("key").alias(drop))
+    return docs.join(hits, row, "left")
 
 
 def _length(lines: Column) -> Column:
     return F.aggregate(F.transform(lines, lambda x: F.length(F.trim(x))), F.lit(0), lambda a, b: a + b)
 
 
-def _decided(docs: DataFrame, text_col: str, id_col: str, site_col: str, min_sites: int, min_words: int) -> DataFrame:
-    """``docs`` with ``_lines``, ``_kept`` (null if nothing goes) and ``_copy``."""
+def _decided(docs: DataFrame, text_col: str, id_col: str, site_col: str, min_sites: int, min_words: int):
+    """``docs`` with three more columns, and their names: all lines, kept lines (null if nothing goes), mostly shared."""
+    row, drop, lines, kept, copy = unused(docs.columns, "row", "drop", "lines", "kept_lines", "mostly_shared")
     # Any two rows with one tag have the same boilerplate lines, or the union of both, which is as good.
-    marked = _marked(docs, text_col, site_col, min_sites, min_words, F.xxhash64(id_col, text_col))
-    marked = marked.withColumn("_lines", F.split(text_col, "\n"))
-    rest = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains("_drop", _key(x)), F.lit(False)))
-    marked = marked.withColumn("_kept", F.when(F.col("_drop").isNotNull(), rest))
-    copy = F.col("_kept").isNotNull() & (2 * _length(F.col("_kept")) < _length(F.col("_lines")))
-    return marked.withColumn("_copy", copy).withColumn("_kept", F.when(~F.col("_copy"), F.col("_kept")))
+    tagged = docs.withColumn(row, F.xxhash64(id_col, text_col))
+    marked = _marked(tagged, text_col, site_col, min_sites, min_words, row, drop).withColumn(lines, F.split(text_col, "\n"))
+    rest = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(drop, _key(x)), F.lit(False)))
+    marked = marked.withColumn(kept, F.when(F.col(drop).isNotNull(), rest))
+    shared = F.col(kept).isNotNull() & (2 * _length(F.col(kept)) < _length(F.col(lines)))
+    marked = marked.withColumn(copy, F.coalesce(shared, F.lit(False))).withColumn(kept, F.when(~F.col(copy), F.col(kept)))
+    return marked.select(*docs.columns, lines, kept, copy), (lines, kept, copy)
 
 
 def clean(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", site_col: str = "source", min_sites: int = 10, min_words: int = 3
 ) -> DataFrame:
     """The same rows and columns, boilerplate lines gone from the text."""
-    decided = _decided(docs, text_col, id_col, site_col, min_sites, min_words)
-    text = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text_col))
+    decided, (_, kept, _) = _decided(docs, text_col, id_col, site_col, min_sites, min_words)
+    text = F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
     return decided.withColumn(text_col, text).select(*docs.columns)
 
 
@@ -91,12 +94,12 @@ def report(
 ) -> DataFrame:
     """doc_id, n_lines, n_removed, mostly_shared (left as it is), kept_sha256 of the remaining lines."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(site_col).alias("site"))
-    decided = _decided(base, "text", "doc_id", "site", min_sites, min_words)
-    kept = F.coalesce("_kept", "_lines")
+    decided, (lines, kept, copy) = _decided(base, "text", "doc_id", "site", min_sites, min_words)
+    rest = F.coalesce(kept, lines)
     return decided.select(
         "doc_id",
-        F.when(F.col("_lines").isNotNull(), F.size("_lines")).otherwise(0).cast("long").alias("n_lines"),
-        F.when(F.col("_kept").isNotNull(), F.size("_lines") - F.size("_kept")).otherwise(0).cast("long").alias("n_removed"),
-        F.coalesce("_copy", F.lit(False)).alias("mostly_shared"),
-        F.sha2(F.coalesce(F.array_join(kept, "\n"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        F.when(F.col(lines).isNotNull(), F.size(lines)).otherwise(0).cast("long").alias("n_lines"),
+        F.when(F.col(kept).isNotNull(), F.size(lines) - F.size(kept)).otherwise(0).cast("long").alias("n_removed"),
+        F.col(copy).alias("mostly_shared"),
+        F.sha2(F.coalesce(F.array_join(rest, "\n"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )

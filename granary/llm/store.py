@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from granary.session import shared_dir
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, underscored until no column has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new place in the folder that driver and executors share."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
