@@ -29,19 +29,20 @@ class ChunkTable:
 
     def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks one after another, and how many each has."""
-        fresh = set(chunks).difference(self.codes)
-        if len(self.codes) + len(fresh) > self.limit:
-            self._empty()
-            fresh = set(chunks)
-        if fresh:
-            new = sorted(fresh)
-            size, flat = self.encode(new)
+        codes = list(map(self.codes.get, chunks))
+        if None in codes:
+            fresh = sorted({c for c, k in zip(chunks, codes) if k is None})
+            if len(self.codes) + len(fresh) > self.limit:
+                self._empty()
+                fresh = sorted(set(chunks))
+            size, flat = self.encode(fresh)
             at = len(self.codes)
-            self.codes.update(zip(new, range(at, at + len(new))))
+            self.codes.update(zip(fresh, range(at, at + len(fresh))))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-        code = np.fromiter(map(self.codes.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+            codes = list(map(self.codes.__getitem__, chunks)) if not at else [self.codes[c] if k is None else k for c, k in zip(chunks, codes)]
+        code = np.array(codes, dtype=np.int64)
         size = self.size[code]
         return self.flat[ranges(self.start[code], size)], size
 

@@ -10,8 +10,8 @@ A shard is one range of ids, in ascending order:
 The dictionary is trained on the serialised ids of a bounded sample of documents (``SAMPLE`` smallest hashes of
 the id) and kept as one file beside the shards. A short document costs one index look-up and one frame.
 
-Ids come from a byte-level BPE of the tokenizers library. A text is cut before spaces that follow a
-non-space, where no pre-token can cross; cuts seen before are remembered. Strings of special tokens are
+Ids come from a byte-level BPE of the tokenizers library. A text is cut before spaces and around newlines
+that follow a non-space, where no pre-token can cross; cuts seen before are remembered. Strings of special tokens are
 ordinary text. The end id is appended to every document.
 
 Null and empty texts have the end id alone. Rows with equal id stand in the order of their texts; null
@@ -40,17 +40,26 @@ MAGIC = b"GTOK0001"
 SAMPLE = 1000
 DICTIONARY_BYTES = 64 << 10
 NO_ID = -(1 << 63)
-_DOUBTFUL = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
-_WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
-_CUT = re.compile(r"(?<=\S)(?= )")
+#: Where one of these occurs, white space stands beside white space and the text is cut by the pattern instead.
+_DOUBTFUL = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+_WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=\S\n)(?=\S)")
+#: A word of Latin letters with the marks that follow it; an apostrophe could begin a contraction.
+_WORD = re.compile(r"( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def cut(text: str) -> list[str]:
     """Chunks whose ids, one after another, are the ids of the text."""
-    if any(x in text for x in _DOUBTFUL) or _WIDE_SPACE.search(text):
+    if any(x in text for x in _DOUBTFUL) or not text.isascii() and _WIDE_SPACE.search(text):
         return [c for c in _CUT.split(text) if c]
-    first, *rest = text.split(" ")
-    return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
+    out: list[str] = []
+    for line in text.split("\n"):
+        out.append("\n")
+        first, *rest = line.split(" ")
+        if first:
+            out.append(first)
+        out += [" " + c for c in rest]
+    return out[1:]
 
 
 def byte_symbols() -> dict[int, str]:
@@ -70,18 +79,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.space = byte_symbols()[32]
-        self.table = ChunkTable(self.encode)
+        self.symbols = byte_symbols()
+        self.space = self.symbols[32]
+        self.marks: dict[str, list[int]] = {"": []}
+        self.table = ChunkTable(self.encode, limit=900_000)
+
+    def _model_ids(self, part: str) -> list[int]:
+        """Ids of one pre-token."""
+        shown = part.replace(" ", self.space) if part.isascii() else part.encode().decode("latin-1").translate(self.symbols)
+        return [t.id for t in self.model.tokenize(shown)]
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found: list[list[int]] = [[]] * len(chunks)
         others = []
         for i, c in enumerate(chunks):
-            word = c[1:] if c[:1] == " " else c
-            if word.isascii() and word.isalpha():
-                found[i] = [t.id for t in self.model.tokenize(self.space + word if len(word) < len(c) else word)]
-            else:
+            word = _WORD.fullmatch(c)
+            if word is None:
                 others.append(i)
+                continue
+            marks = word[3]
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": []}
+                self.marks[marks] = self._model_ids(marks)
+            found[i] = self._model_ids(word[1] + word[2]) + self.marks[marks]
         for i, e in zip(others, self.tokenizer.encode_batch([chunks[i] for i in others], add_special_tokens=False)):
             found[i] = e.ids
         size = np.array([len(f) for f in found], dtype=np.int64)
