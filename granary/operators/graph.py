@@ -74,7 +74,7 @@ def graph_components(edges: DataFrame) -> DataFrame:
     return connected_components(_ends(edges)).withColumnRenamed("component", "community")
 
 
-def label_communities(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
+def label_communities(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Communities by weighted label propagation.
 
     Outlets and cards vote in turn, which avoids the flip-flop of bipartite graphs. The label with
@@ -100,6 +100,8 @@ def label_communities(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
         cards = fresh
         if not changed:
             break
+    else:
+        raise RuntimeError(f"communities did not settle in {max_rounds} rounds")
     return cards.unionByName(outlets).withColumnRenamed("label", "community")
 
 
@@ -111,38 +113,53 @@ def _inner_edges(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return named.join(left, "a").join(right, "b").where("community = other").drop("other")
 
 
-def community_rank(inner: DataFrame, rounds: int = 40, cut_every: int = 10) -> DataFrame:
-    """Weighted PageRank inside every community at once (no edge leaves a community)."""
+def community_rank(inner: DataFrame, tolerance: float = 1e-12, max_rounds: int = 200, cut_every: int = 10) -> DataFrame:
+    """Weighted PageRank inside every community at once (no edge leaves a community), to convergence.
+
+    Chebyshev steps: with undirected edges the transition matrix has real eigenvalues within -1..1, so
+    the error falls by the factor 0.56 a round instead of 0.85. Stops when no rank moves by more
+    than ``tolerance``.
+    """
     both = inner.select(F.col("a").alias("src"), F.col("b").alias("dst"), "community", "weight").unionByName(
         inner.select(F.col("b").alias("src"), F.col("a").alias("dst"), "community", "weight")
     )
     strength = both.groupBy("src").agg(F.sum("weight").alias("strength"))
     vertices = both.select("community", "src").distinct()
     size = vertices.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
-    links = cut(
-        both.join(strength, "src")
-        .join(size, "community")
-        .select("src", "dst", "community", "n", (F.col("weight") / F.col("strength")).alias("p"))
+    # A vertex is linked with itself at weight 0, so the grouping that sums the inflow also hands on its own ranks.
+    itself = vertices.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("p"))
+    links = cut(both.join(strength, "src").select("src", "dst", (F.col("weight") / F.col("strength")).alias("p")).unionByName(itself))
+    start = F.lit(1.0) / F.col("n")
+    rank = vertices.join(size, "community").select(
+        F.col("src").alias("vertex"), "community", "n", start.alias("rank"), F.lit(0.0).alias("before")
     )
-    rank = vertices.join(size, "community").select(F.col("src").alias("vertex"), "community", (F.lit(1.0) / F.col("n")).alias("rank"))
-    for i in range(1, rounds + 1):
-        # Every vertex has an edge, so the grouping alone gives the next ranks.
+    omega = 1.0
+    for i in range(1, max_rounds + 1):
+        own = F.col("src") == F.col("dst")
+        plain = DAMPING * F.col("inflow") + (1 - DAMPING) / F.col("n")
         rank = (
-            links.join(rank.select(F.col("vertex").alias("src"), "rank"), "src")
-            .groupBy("dst", "community", "n")
-            .agg(F.sum(F.col("rank") * F.col("p")).alias("inflow"))
+            links.join(rank.withColumnRenamed("vertex", "src"), "src")
+            .groupBy(F.col("dst").alias("vertex"), "community", "n")
+            .agg(
+                F.sum(F.col("rank") * F.col("p")).alias("inflow"),
+                F.max(F.when(own, F.col("rank"))).alias("last"),
+                F.max(F.when(own, F.col("before"))).alias("before"),
+            )
             .select(
-                F.col("dst").alias("vertex"),
-                "community",
-                ((1 - DAMPING) / F.col("n") + DAMPING * F.col("inflow")).alias("rank"),
+                "vertex", "community", "n",
+                (omega * (plain - F.col("before")) + F.col("before")).alias("rank"), F.col("last").alias("before"),
             )
-        )
-        if i % cut_every == 0 and i < rounds:
+        )
+        omega = 2 / (2 - DAMPING**2) if i == 1 else 1 / (1 - DAMPING**2 * omega / 4)
+        if i % cut_every == 0:
             rank = cut(rank)
-    return rank
+            moved = rank.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
+            if moved is None or moved <= tolerance:
+                return rank.select("vertex", "community", "rank")
+    raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
 
 
-def ring_scores(edges: DataFrame, communities: DataFrame, min_size: int = MIN_RING, rounds: int = 40) -> DataFrame:
+def ring_scores(edges: DataFrame, communities: DataFrame, min_size: int = MIN_RING) -> DataFrame:
     """Score 0..1 of each community with at least ``min_size`` vertices, with its parts and its hub."""
     big = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     members = cut(communities.join(big.select("community"), "community"))
@@ -161,7 +178,7 @@ def ring_scores(edges: DataFrame, communities: DataFrame, min_size: int = MIN_RI
         F.count(F.lit(1)).alias("n_edges"), F.sum("weight").alias("total"), F.sum("unverified").alias("unverified")
     )
     hubs = (
-        community_rank(inner, rounds)
+        community_rank(inner)
         .groupBy("community")
         .agg(F.min(F.struct((-half_even("rank", 9)).alias("r"), "vertex")).alias("hub"))
         .select("community", (-F.col("hub.r")).alias("hub_rank"), F.col("hub.vertex").alias("hub"))

@@ -1,4 +1,4 @@
-"""Inputs several queries share, kept as checkpoints: every detector reads the features.
+"""Inputs several queries share, kept as Parquet tables: every detector reads the features.
 
 A cache instead would put the whole history of each table into every later plan.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from granary.operators.features import outlet_features, with_baseline
 from granary.operators.statistical import score_outlets
-from granary.session import cut
+from granary.session import stored
 from granary.sources import fixtures
 
 # Thresholds that fire for some but not most outlets of the test tables (FIXTURES.md).
@@ -23,7 +23,7 @@ RULE_LIMITS = {**LIMITS, "low_rate": 0.25, "low_min_cards": 20, "spike_factor":
 
 def keep(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder; survives the loss of any executor."""
-    return cut(df)
+    return stored(df)
 
 
 @lru_cache(maxsize=16)

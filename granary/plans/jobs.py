@@ -30,7 +30,7 @@ def detect_all(
     parts = [statistical.detect(scored, **(limits or {})), rules.apply_rules(scored, **(rule_limits or {}))]
     model = forest.train(scored, "outlet_id")
     if model is not None:
-        placed = scored.join(forest.score(model, scored, "outlet_id"), "outlet_id")
+        placed = scored.join(forest.training_scores(model, "outlet_id"), "outlet_id")
         parts.append(forest.findings(placed, threshold))
     groups = density.cluster(standard_scale(features, CLUSTER_COLUMNS), "outlet_id", CLUSTER_COLUMNS)
     parts.append(density.cluster_findings(groups, features))

@@ -14,6 +14,8 @@ from granary.plans.sql import LIFTS, OUTLETS, with_
 from granary.plans.sql import half_even as r
 from granary.sources import fixtures
 
+ALL_ITEMS = list(fixtures.WIDE_ITEMS.values())
+ITEM_ROWS = ", ".join(f"('{i}')" for i in ALL_ITEMS)
 SERIES = """series as (
   select outlet_id, item, cast(date_trunc('month', lift_ts) as date) as month, sum(quantity) as quantity,
          count(distinct card_id) as active_cards from lifts group by 1, 2, 3)"""
@@ -116,7 +118,7 @@ def q_smooth(spark, d):
     return fc.smoothing(fc.series_features(series(spark, d)))
 
 
-SHORT = """pairs as (select outlet_id, region, item from outlets, (values ('ECONOMY'), ('PROMO')) v(item)),
+SHORT = f"""pairs as (select outlet_id, region, item from outlets, (values {ITEM_ROWS}) v(item)),
 own as (select outlet_id, item, max_by(quantity, month) as base, max(month) as last_month, count(*) as months from series group by 1, 2),
 reg as (select region, item, max_by(mean_quantity, month) as base, max(month) as last_month from region_series group by 1, 2),
 short as (select p.outlet_id, p.item, p.region, coalesce(o.base, g.base, 0) as base,
@@ -136,7 +138,7 @@ short as (select p.outlet_id, p.item, p.region, coalesce(o.base, g.base, 0) as b
 )
 def q_growth(spark, d):
     pairs = fixtures.outlets(spark, d).select(
-        "outlet_id", "region", F.explode(F.array(F.lit("ECONOMY"), F.lit("PROMO"))).alias("item")
+        "outlet_id", "region", F.explode(F.array(*[F.lit(i) for i in ALL_ITEMS])).alias("item")
     )
     base = fc.short_series_base(pairs, series(spark, d), regions(spark, d))
     return fc.growth(base.where("base <> 0"))
@@ -251,7 +253,7 @@ def q_seasonal(spark, d):
 @lru_cache(maxsize=16)
 def forecasts(spark, d):
     lifts = fixtures.lifts(spark, d)
-    return inputs.keep(fc.forecast_run(fixtures.outlets(spark, d), lifts, ["ECONOMY", "PROMO"]))
+    return inputs.keep(fc.forecast_run(fixtures.outlets(spark, d), lifts, ALL_ITEMS))
 
 
 @query("forecast_run", "P14")

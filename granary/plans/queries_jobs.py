@@ -24,13 +24,12 @@ def q_pipeline(spark, d):
         fixtures.lifts(spark, d),
         features,
         fixtures.card_mix(spark, d, features),
-        ["ECONOMY", "PROMO"],
+        list(fixtures.WIDE_ITEMS.values()),
         RUN_DATE,
         f"{shared_dir(spark)}/run-{uuid.uuid4().hex}",
         reach_km=10.0,
         limits={**STAT_LIMITS, **inputs.LIMITS},
         rule_limits=RULE_SETTINGS,
-        min_edge_weight=4,
     )
     out = None
     for name, path in sorted(paths.items()):

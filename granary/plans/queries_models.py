@@ -35,7 +35,7 @@ def spread_labels(name: str, edges: str, rounds: int) -> str:
 
 PURCHASES = """edges as (select card_id, outlet_id, count(*) as weight, round_even(sum(quantity) * 100, 0) / 100 as quantity,
     count(distinct cast(lift_ts as date)) as days, count(*) filter (not verified) as unverified
-  from card_lifts group by 1, 2 having count(*) >= 4)"""
+  from card_lifts where card_id is not null and outlet_id is not null group by 1, 2)"""
 LINKS = """links as (select 'c:' || card_id as a, 's:' || outlet_id as b, weight from edges
   union all select 's:' || outlet_id, 'c:' || card_id, weight from edges)"""
 ROUNDS = 40
@@ -45,7 +45,7 @@ GRAPH_CTES = (EVENTS, PURCHASES, LINKS, COMPONENTS)
 
 @lru_cache(maxsize=16)
 def edges(spark, d):
-    return inputs.keep(gr.card_outlet_edges(fixtures.card_events(spark, d), 4))
+    return inputs.keep(gr.card_outlet_edges(fixtures.card_events(spark, d)))
 
 
 @query(
@@ -54,10 +54,10 @@ def edges(spark, d):
     with_(LIFTS)
     + """select card_id, outlet_id, count(*) as weight, round_even(sum(quantity) * 100, 0) / 100 as quantity,
        count(distinct cast(lift_ts as date)) as days, count(*) filter (not verified) as unverified
-      from lifts group by 1, 2 having count(*) >= 4""",
+      from lifts group by 1, 2""",
 )
 def q_edges(spark, d):
-    return gr.card_outlet_edges(fixtures.lifts(spark, d), 4)
+    return gr.card_outlet_edges(fixtures.lifts(spark, d))
 
 
 @query(
@@ -99,7 +99,7 @@ def q_communities(spark, d):
     return gr.label_communities(edges(spark, d))
 
 
-RANK_ROUNDS = 20
+RANK_ROUNDS = 60  # Chebyshev rounds: the error falls below 1e-12
 
 
 def _rank_sql() -> str:
@@ -108,14 +108,19 @@ def _rank_sql() -> str:
 part as (select v, l from lab{ROUNDS} where l in (select l from big)),
 sz as (select l, count(*) as n from part group by 1),
 st as (select a, sum(weight) as s from links group by 1),
-lk as materialized (select k.a as src, k.b as dst, p.l, z.n, k.weight / st.s as p from links k join part p on p.v = k.a join sz z on z.l = p.l join st on st.a = k.a),
-pr0 as materialized (select v, part.l, 1.0::double / n as k from part join sz using (l))"""
+lk as materialized (select k.a as src, k.b as dst, p.l, z.n, k.weight / st.s as p from links k join part p on p.v = k.a join sz z on z.l = p.l join st on st.a = k.a
+  union all select v, v, l, n, 0.0::double from part join sz using (l)),
+pr0 as materialized (select v, part.l, n, 1.0::double / n as k, 0.0::double as before from part join sz using (l))"""
     ]
+    omega, d = 1.0, 0.85
     for i in range(RANK_ROUNDS):
+        step = f"{omega!r}::double * ((1 - 0.85::double) / n + 0.85::double * inflow - before) + before"
         parts.append(
-            f"pr{i + 1} as materialized (select dst as v, lk.l, (1 - 0.85::double) / n + 0.85::double * sum(x.k * p) as k "
-            f"from lk join pr{i} x on x.v = lk.src group by dst, lk.l, n)"
+            f"pr{i + 1} as materialized (select v, l, n, {step} as k, own as before from (select dst as v, lk.l, lk.n, sum(y.k * p) as inflow, "
+            f"max(case when src = dst then y.k end) as own, max(case when src = dst then y.before end) as before "
+            f"from lk join pr{i} y on y.v = lk.src group by dst, lk.l, lk.n))"
         )
+        omega = 2 / (2 - d * d) if i == 0 else 1 / (1 - d * d * omega / 4)
     return ",\n".join(parts)
 
 
@@ -132,7 +137,7 @@ RANKS = _rank_sql()
 def q_rank(spark, d):
     big = components(spark, d).groupBy("community").count().where("count >= 3").select("community")
     members = components(spark, d).join(big, "community")
-    return gr.community_rank(gr._inner_edges(edges(spark, d), members), RANK_ROUNDS)
+    return gr.community_rank(gr._inner_edges(edges(spark, d), members))
 
 
 RINGS = f"""ed as (select e.*, p.l from edges e join part p on p.v = 'c:' || e.card_id),
@@ -148,7 +153,7 @@ rings as (select l as community, n_cards, n_outlets, n_edges, total, multi_cards
 
 @lru_cache(maxsize=16)
 def rings(spark, d):
-    return inputs.keep(gr.ring_scores(edges(spark, d), components(spark, d), rounds=RANK_ROUNDS))
+    return inputs.keep(gr.ring_scores(edges(spark, d), components(spark, d)))
 
 
 RING_COLUMNS = ["community", "n_cards", "n_outlets", "n_edges", "total", "multi_share", "unverified_share", "density", "mean_weight"]
@@ -253,7 +258,7 @@ def q_lift_clusters(spark, d):
 def forest_scores(spark, d):
     features = inputs.scored_features(spark, d)
     forest = fo.train(features, "outlet_id")
-    return inputs.keep(features.join(fo.score(forest, features, "outlet_id"), "outlet_id"))
+    return inputs.keep(features.join(fo.training_scores(forest, "outlet_id"), "outlet_id"))
 
 
 @query("isolation_forest_scores", "D18")

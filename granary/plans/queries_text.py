@@ -33,7 +33,7 @@ def _terms_sql(name: str, table: str, key: str) -> str:
 
 DOC_TERMS = _terms_sql("doc_terms", "documents", "doc_id")
 VOCAB = """vocab as (select *, ln((1.0::double + (select count(*) from documents)) / (1.0::double + docs)) + 1.0::double as idf from (
-  select term, sum(uses) as total, count(*) as docs from doc_terms group by 1 order by 2 desc, 1 limit 5000))"""
+  select term, sum(uses) as total, count(*) as docs from doc_terms group by 1))"""
 
 
 def _weights_sql(name: str, terms: str, key: str) -> str:
@@ -207,12 +207,12 @@ def q_network_chunks(spark, d):
      select 'alert_summary' as doc_id, 'Alert summary: ' || count(*) || ' alerts, ' || count(*) filter (severity = 'Critical') || ' critical, '
        || count(*) filter (severity = 'High') || ' high, ' || count(*) filter (severity = 'Medium') || ' medium, '
        || count(*) filter (severity = 'Low') || ' low, ' || count(*) filter (model = 'rings') || ' rings.' as text, 'alert_summary' as source from alerts
-     union all select 'alerts_by_region', 'Alerts by region, ten largest: ' || string_agg(shown_region || ': ' || n, '; ' order by n desc, shown_region) || '.',
-       'alerts_by_region' from (select * from reg order by n desc, shown_region limit 10)
+     union all select 'alerts_by_region', 'Alerts by region: ' || string_agg(shown_region || ': ' || n, '; ' order by n desc, shown_region) || '.',
+       'alerts_by_region' from reg
      union all select 'alerts_region_' || shown_region, 'Region ' || shown_region || ': ' || n || ' alerts. Main patterns: ' || patterns || '.', 'alerts_by_region'
-       from (select * from reg order by n desc, shown_region limit 20) join three using (shown_region)
+       from reg join three using (shown_region)
      union all select 'alerts_by_pattern', 'Alerts by pattern: ' || string_agg(pattern || ': ' || n, '; ' order by n desc, pattern) || '.', 'alerts_by_pattern'
-       from (select pattern, count(*) as n from shown group by 1 order by 2 desc, 1 limit 8)
+       from (select pattern, count(*) as n from shown group by 1)
      union all select 'alert_' || alert_id, 'Alert (' || severity || '): outlet ' || outlet_id || ' in ' || region || ', pattern ' || pattern || '.', 'alerts'
        from (select * from alerts where severity in ('Critical', 'High') order by score desc, alert_id limit 50)""",
 )

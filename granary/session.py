@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +31,23 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, so Python stages find it from any folder. Once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_granary_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="granary-package-")) / "granary.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._granary_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,3 +74,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later steps restart from files, not from the whole history."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write the table to the shared folder as Parquet and read it back.
+
+    Cuts lineage like a checkpoint, but later plans prune columns, push filters down and have statistics.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,6 @@ from granary.functions.columns import half_even
 from granary.operators.rules import quick_score
 
 WATERMARK = "2 days"
-KEPT_FLAGS = 100
 
 
 def file_stream(
@@ -101,16 +101,16 @@ def unique_alerts(alerts: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 
 FLAG_OUTPUT = "outlet_id string, alert_id string, detected_at timestamp, earlier_flags int, context string"
-FLAG_STATE = "recent array<bigint>"
+FLAG_STATE = "flags bigint, last bigint"
 
 
 def repeat_flags(
     alerts: DataFrame, watermark: str = WATERMARK, forget_after_ms: int = 90 * 24 * 3600 * 1000
 ) -> DataFrame:
-    """Each alert with the number of earlier flags of its outlet, at most the last hundred.
+    """Each alert with the number of earlier flags of its outlet.
 
-    State per outlet is the times of its last flags; it is dropped when the watermark is that far
-    past the last of them.
+    State per outlet is their number and the time of the last; it is dropped when the watermark is that
+    far past it.
     Alerts of one batch are taken in order of event time. The input is de-duplicated alerts, a
     handful per outlet, not raw lifts.
     """
@@ -119,14 +119,12 @@ def repeat_flags(
         if state.hasTimedOut:
             state.remove()
             return
-        recent = list(state.get[0]) if state.exists else []
+        flags, last = state.get if state.exists else (0, 0)
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["detected_at", "alert_id"])
-        counts = []
-        for moment in rows.detected_at:
-            counts.append(len(recent))
-            recent = [*recent, int(moment.timestamp() * 1000)][-KEPT_FLAGS:]
-        state.update((recent,))
-        state.setTimeoutTimestamp(max(max(recent), state.getCurrentWatermarkMs()) + forget_after_ms)
+        counts = np.arange(flags, flags + len(rows))
+        last = max(last, int(rows.detected_at.max().timestamp() * 1000))
+        state.update((flags + len(rows), last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + forget_after_ms)
         yield pd.DataFrame(
             {
                 "outlet_id": key[0],
