@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.columns import half_even
+from granary.session import stored
 
 SERIES = ["outlet_id", "item"]
 SMOOTHING = 0.3
@@ -379,7 +380,8 @@ def forecast_run(
     """
     wanted = lifts.where(F.col("item").isin(*items))
     pairs = outlets.select("outlet_id", "region", F.explode(F.array(*[F.lit(i) for i in items])).alias("item"))
-    series, regions = monthly_series(wanted), region_series(wanted)
+    # Both are read several times below; stored, the lifts are scanned once for each.
+    series, regions = stored(monthly_series(wanted), "series"), stored(region_series(wanted), "regions")
     if holidays is None:
         holidays = holiday_days(fixed_holidays(regions))
     smooth = smoothing(series_features(series), months)

@@ -11,7 +11,7 @@ from granary.operators.features import region_baseline
 from granary.plans import inputs
 from granary.plans.queries_forecast import SERIES, TEST, series, tested
 from granary.plans.queries_reports import EVENTS
-from granary.plans.registry import query
+from granary.plans.registry import QUERIES, query
 from granary.plans.sql import BASELINE, FEATURE_CTES, LIFTS, OUTLETS, with_
 from granary.session import shared_dir
 from granary.sources import fixtures
@@ -119,7 +119,7 @@ ERRORS = """errors as (select json_extract_string(props, '$.k') as outlet_id, ca
     "stream_repeat_flags",
     "S5",
     with_(ERRORS)
-    + """select outlet_id, alert_id, cast(least(row_number() over (partition by outlet_id order by detected_at, alert_id) - 1, 100) as integer) as earlier_flags,
+    + """select outlet_id, alert_id, cast(row_number() over (partition by outlet_id order by detected_at, alert_id) - 1 as integer) as earlier_flags,
        case when row_number() over (partition by outlet_id order by detected_at, alert_id) = 1 then 'first' else 'repeat' end as context from errors""",
 )
 def q_repeat(spark, d):
@@ -167,3 +167,74 @@ def q_stream_daily(spark, d):
     return _run(spark, sr.daily_features(lifts)).select(
         "outlet_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "lifts", "unverified"
     )
+
+
+def _in_parts(spark, df, time: str, parts: int = 4, kind: str = "parquet") -> str:
+    """A folder with the table in several files, earlier rows in earlier files, as a feed would leave them."""
+    folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    first, last = df.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    width = (last - first) // parts + 1
+    for k in range(parts):
+        part = df.where(F.floor((F.unix_micros(F.col(time)) - first) / width) == k).coalesce(1)
+        part.write.mode("append").format(kind).option("header", True).save(folder)
+    return folder
+
+
+def _lift_feed(spark, d, kind: str = "parquet"):
+    """Card lifts as a stream of several files, one per batch."""
+    lifts = fixtures.card_events(spark, d).select(
+        "card_id", "outlet_id", "quantity", F.col("lift_ts").cast("timestamp").alias("lift_ts"), "verified"
+    )
+    return sr.file_stream(spark, _in_parts(spark, lifts, "lift_ts", kind=kind), lifts.schema, kind, files_per_trigger=1)
+
+
+CLOSED = "(select max(lift_ts) - interval 2 days as t from card_lifts)"
+
+
+@query(
+    "stream_sliding_unverified_share",
+    "S3",
+    f"select s.* from ({QUERIES['sliding_unverified_share'].sql}) s, (with {EVENTS} select t from {CLOSED}) c where window_start + interval 7 days <= c.t",
+    doubles=["quantity", "unverified_share"],
+    digits=6,
+)
+def q_stream_sliding(spark, d):
+    """Windows that the watermark has closed."""
+    out = _run(spark, sr.sliding_share(_lift_feed(spark, d)))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_card_sessions",
+    "S4",
+    f"select s.* from ({QUERIES['card_sessions'].sql}) s, (with {EVENTS} select t from {CLOSED}) c where session_end <= c.t",
+    doubles=["quantity"],
+    digits=6,
+)
+def q_stream_sessions(spark, d):
+    """Sessions that the watermark has closed."""
+    out = _run(spark, sr.card_sessions(_lift_feed(spark, d)))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("stream_daily_outlet_windows_of_csv", "S2 S10", QUERIES["stream_daily_outlet_windows"].sql)
+def q_stream_csv(spark, d):
+    """The same windows from several CSV files."""
+    return _run(spark, sr.daily_features(_lift_feed(spark, d, "csv"))).select(
+        "outlet_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "lifts", "unverified"
+    )
+
+
+@query("stream_reports_with_master", "S7", QUERIES["reports_with_master"].sql)
+def q_stream_master(spark, d):
+    """Reports of outlets as a stream, joined to the static master and baseline."""
+    features = inputs.features(spark, d)
+    reports = features.drop("region")
+    folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    reports.repartition(4, "outlet_id").write.parquet(folder)
+    stream = sr.file_stream(spark, folder, reports.schema, files_per_trigger=1)
+    joined = sr.with_master(stream, fixtures.outlets(spark, d), region_baseline(features))
+    return _run(
+        spark,
+        joined.select("outlet_id", "region", "is_active", (F.col("staple_per_card") > F.col("staple_per_card_p95")).alias("above_p95")),
+    )

@@ -27,7 +27,7 @@ def file_stream(
     """New files of a folder or glob as a stream."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if kind == "csv":
-        reader = reader.option("header", True).option("mode", "DROPMALFORMED")
+        reader = reader.option("header", True)
     return reader.format(kind).load(path)
 
 
