@@ -12,19 +12,34 @@ from pyspark.sql import types as T
 from granary.sources import normalise
 
 
+EXTRA = "_extra"
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, audit: bool = False) -> DataFrame:
-    """CSV with a header; malformed rows are dropped, or kept in ``_corrupt_record`` for an audit.
+    """CSV with a header. Rows with too few fields are filled with nulls, rows with too many are dropped.
 
-    The parser reads whole rows: with pruned columns it would not see that a row is malformed, and
-    the row count would depend on the columns a query uses.
+    With ``audit`` all rows come, those of another length with their text in ``_corrupt_record`` and, if they
+    have too many fields, the first surplus one in ``_extra``.
     """
-    reader = spark.read.option("header", True).option("ignoreCorruptFiles", True).option("columnPruning", False)
-    if audit:
-        full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-        return (
-            reader.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
-        )
-    return reader.schema(schema).option("mode", "DROPMALFORMED").csv(path)
+    wide = T.StructType([*schema.fields, T.StructField(EXTRA, T.StringType())])
+    found = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(wide).csv(path)
+    if not audit:
+        # The field after the last is there only in rows that are too long.
+        return found.where(F.col(EXTRA).isNull()).drop(EXTRA)
+    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False)
+    marked = reader.option("columnNameOfCorruptRecord", "_corrupt_record").schema(full).csv(path)
+    surplus = F.from_csv(F.col("_corrupt_record"), wide.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    return marked.withColumn(EXTRA, surplus[EXTRA])
+
+
+def csv_row_counts(audited: DataFrame) -> DataFrame:
+    """Rows read, rows with too few and with too many fields, from an audit read."""
+    return audited.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("_corrupt_record").isNotNull() & F.col(EXTRA).isNull()).alias("short"),
+        F.count_if(F.col(EXTRA).isNotNull()).alias("long"),
+    )
 
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:

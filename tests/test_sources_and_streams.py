@@ -55,7 +55,37 @@ def test_corrupt_rows_are_audited(spark, folder):
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     audit = files.read_csv(spark, f"{folder}/transactions_5_2024.csv", schema, audit=True).cache()
     assert audit.where("_corrupt_record is not null").count() == 1
-    assert files.read_csv(spark, f"{folder}/transactions_5_2024.csv", schema).count() == 3
+    # The short row is kept with nulls.
+    assert files.read_csv(spark, f"{folder}/transactions_5_2024.csv", schema).count() == 4
+    assert files.csv_row_counts(audit).first().asDict() == {"rows": 4, "short": 1, "long": 0}
+
+
+def test_long_rows_are_dropped_and_counted(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    (tmp_path / "x.csv").write_text('a,b,c\n1,2,3\n1,2\n1,2,3,4\n"x, y",2,3\n1,2,3,4,5\n')
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in "abc"])
+    rows = files.read_csv(spark, f"{tmp_path}/x.csv", schema)
+    assert sorted(map(tuple, rows.collect()), key=str) == [("1", "2", "3"), ("1", "2", None), ("x, y", "2", "3")]
+    assert rows.select("a").count() == 3
+    audit = files.read_csv(spark, f"{tmp_path}/x.csv", schema, audit=True).cache()
+    assert files.csv_row_counts(audit).first().asDict() == {"rows": 5, "short": 1, "long": 2}
+
+
+def test_python_stages_find_the_package_from_another_folder(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        f"import sys; sys.path.insert(0, {str(Path(files.__file__).parents[2])!r})\n"
+        "from granary.session import build_session\n"
+        "from granary.plans.catalog import QUERIES\n"
+        "spark = build_session('local[2]', **{'spark.sql.shuffle.partitions': '2', 'spark.ui.showConsoleProgress': 'false'})\n"
+        "assert QUERIES['seasonal_forecast'].plan(spark, '/root/testdata/sf0.001').count() > 0\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**__import__("os").environ, "PYTHONPATH": ""}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
 
 
 def test_master_tables_replace_only_their_periods(spark, tmp_path):
