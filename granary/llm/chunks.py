@@ -11,40 +11,58 @@ from granary.llm.text import ranges
 Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
+class _Codes(dict):
+    """Numbers keys in the order in which they first come up."""
+
+    def __init__(self, keys: list[str] = ()):
+        super().__init__(zip(keys, range(len(keys))))
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        code = self[key] = len(self)
+        self.fresh.append(key)
+        return code
+
+
 class ChunkTable:
     """Ids of distinct chunks. ``encode`` gives, for a list of chunks, their numbers of ids and all ids.
 
-    The table is emptied when it holds ``limit`` chunks, so its size does not grow with the input.
+    A table of more than ``limit`` chunks is cut to those that came up most, half as many at most, so its
+    size does not grow with the input.
     """
 
     def __init__(self, encode: Encoder, limit: int = 600_000):
         self.encode, self.limit = encode, limit
-        self._empty()
-
-    def _empty(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.start = np.zeros(0, dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.int64)
+        self.codes = _Codes()
+        self.start = self.size = self.uses = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.int32)
 
     def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks one after another, and how many each has."""
-        codes = list(map(self.codes.get, chunks))
-        if None in codes:
-            fresh = sorted({c for c, k in zip(chunks, codes) if k is None})
-            if len(self.codes) + len(fresh) > self.limit:
-                self._empty()
-                fresh = sorted(set(chunks))
+        code = np.fromiter(map(self.codes.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        fresh = self.codes.fresh
+        if fresh:
             size, flat = self.encode(fresh)
-            at = len(self.codes)
-            self.codes.update(zip(fresh, range(at, at + len(fresh))))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-            codes = list(map(self.codes.__getitem__, chunks)) if not at else [self.codes[c] if k is None else k for c, k in zip(chunks, codes)]
-        code = np.array(codes, dtype=np.int64)
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), dtype=np.int64)])
+            self.codes.fresh = []
         size = self.size[code]
-        return self.flat[ranges(self.start[code], size)], size
+        out = self.flat[ranges(self.start[code], size)], size
+        self.uses += np.bincount(code, minlength=len(self.uses))
+        if len(self.codes) > self.limit:
+            self._shrink()
+        return out
+
+    def _shrink(self) -> None:
+        least = np.sort(self.uses)[-(self.limit // 2)]
+        keep = np.flatnonzero(self.uses > least)
+        keys = list(self.codes)
+        self.codes = _Codes([keys[k] for k in keep.tolist()])
+        size = self.size[keep]
+        self.flat = self.flat[ranges(self.start[keep], size)]
+        self.start, self.size, self.uses = np.cumsum(size) - size, size, self.uses[keep]
 
 
 def document_ids(table: ChunkTable, texts: list[str], split: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray]:

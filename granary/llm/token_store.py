@@ -25,6 +25,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,25 +42,29 @@ SAMPLE = 1000
 DICTIONARY_BYTES = 64 << 10
 NO_ID = -(1 << 63)
 #: Where one of these occurs, white space stands beside white space and the text is cut by the pattern instead.
-_DOUBTFUL = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+_DOUBTFUL = ("\0", "  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=\S\n)(?=\S)")
 #: A word of Latin letters with the marks that follow it; an apostrophe could begin a contraction.
-_WORD = re.compile(r"( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+_WORD = re.compile("([\\n\0]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+_PLAIN = "\0"
 
 
 def cut(text: str) -> list[str]:
-    """Chunks whose ids, one after another, are the ids of the text."""
+    """Chunks whose ids, one after another, are the ids of the text.
+
+    A chunk that begins with a newline stands for itself, one that begins with ``_PLAIN`` for the rest of it,
+    any other for itself after a space.
+    """
     if any(x in text for x in _DOUBTFUL) or not text.isascii() and _WIDE_SPACE.search(text):
-        return [c for c in _CUT.split(text) if c]
-    out: list[str] = []
-    for line in text.split("\n"):
-        out.append("\n")
-        first, *rest = line.split(" ")
-        if first:
-            out.append(first)
-        out += [" " + c for c in rest]
-    return out[1:]
+        return [_PLAIN + c for c in _CUT.split(text) if c]
+    return (_PLAIN + text.replace("\n", " \n")).split(" ")
+
+
+def literal(chunk: str) -> str:
+    if chunk.startswith(_PLAIN):
+        return chunk[1:]
+    return chunk if chunk.startswith("\n") else " " + chunk
 
 
 def byte_symbols() -> dict[int, str]:
@@ -82,31 +87,38 @@ class Encoder:
         self.symbols = byte_symbols()
         self.space = self.symbols[32]
         self.marks: dict[str, list[int]] = {"": []}
-        self.table = ChunkTable(self.encode, limit=900_000)
+        self.begin = {"": self.space, "\n": "", _PLAIN: ""}
+        self.table = ChunkTable(self.encode, limit=1_200_000)
 
-    def _model_ids(self, part: str) -> list[int]:
-        """Ids of one pre-token."""
-        shown = part.replace(" ", self.space) if part.isascii() else part.encode().decode("latin-1").translate(self.symbols)
+    def _model_ids(self, shown: str) -> list[int]:
+        """Ids of one pre-token, given in the symbols of the vocabulary."""
         return [t.id for t in self.model.tokenize(shown)]
 
+    def _shown(self, part: str) -> str:
+        return part if part.isascii() else part.encode().decode("latin-1").translate(self.symbols)
+
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found: list[list[int]] = [[]] * len(chunks)
         others = []
+        line = self._model_ids(self.symbols[10])
         for i, c in enumerate(chunks):
             word = _WORD.fullmatch(c)
             if word is None:
                 others.append(i)
                 continue
-            marks = word[3]
-            if marks not in self.marks:
-                if len(self.marks) > 10_000:
-                    self.marks = {"": []}
-                self.marks[marks] = self._model_ids(marks)
-            found[i] = self._model_ids(word[1] + word[2]) + self.marks[marks]
-        for i, e in zip(others, self.tokenizer.encode_batch([chunks[i] for i in others], add_special_tokens=False)):
+            first, letters, marks = word.groups()
+            ids = [t.id for t in self.model.tokenize(self.begin[first] + self._shown(letters))]
+            if marks:
+                if marks not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks = {}
+                    self.marks[marks] = self._model_ids(marks)
+                ids += self.marks[marks]
+            found[i] = line + ids if first == "\n" else ids
+        for i, e in zip(others, self.tokenizer.encode_batch([literal(chunks[i]) for i in others], add_special_tokens=False)):
             found[i] = e.ids
-        size = np.array([len(f) for f in found], dtype=np.int64)
-        return size, np.array([t for f in found for t in f], dtype=np.int32)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return size, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(size.sum()))
 
     def documents(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         ids, counts = document_ids(self.table, texts, cut)
