@@ -23,6 +23,11 @@ Z_FEATURES = {
 BASELINE_PROBS = {"q1": 0.25, "med": 0.5, "q3": 0.75, "p90": 0.9, "p95": 0.95}
 
 
+def first_known(c: str) -> Column:
+    """The earliest value that is not null; the smallest of those with the same time."""
+    return F.min(F.when(F.col(c).isNotNull(), F.struct("lift_ts", c)))[c]
+
+
 def outlet_features(
     lifts: DataFrame,
     outlets: DataFrame | None = None,
@@ -36,14 +41,14 @@ def outlet_features(
     """One row per outlet (and period) from long lifts, in one aggregation.
 
     ``cards`` and ``transactions`` are aggregate expressions over the lifts. Without ``cards``
-    the earliest known ``total_cards`` of the outlet counts; without ``transactions`` the
+    the earliest known ``total_cards`` of the outlet counts, like its region; without ``transactions`` the
     collection rate is estimated from the staple quantity. ``outlets`` supplies the region
     (else it is taken from the lifts); ``card_counts`` adds cards_aay and cards_phh.
     """
     keys = ["outlet_id"] + ([period] if period else [])
     rows = lifts.where(F.col("outlet_id").isNotNull())
     if cards is None:
-        cards = F.min_by("total_cards", F.when(F.col("total_cards").isNotNull(), F.col("lift_ts")))
+        cards = first_known("total_cards")
     quantity = F.coalesce(F.col("quantity"), F.lit(0.0))
     sums = [
         F.sum(F.when(F.col("item") == item, quantity).otherwise(0.0)).alias(f"{role}_total")
@@ -54,7 +59,7 @@ def outlet_features(
     if transactions is not None:
         aggs.append(transactions.cast("bigint").alias("total_transactions"))
     if outlets is None:
-        aggs.append(F.min("region").alias("region"))
+        aggs.append((first_known("region") if "lift_ts" in lifts.columns else F.min("region")).alias("region"))
     out = rows.groupBy(*keys).agg(*aggs)
     if outlets is not None:
         out = out.join(outlets.select("outlet_id", "region"), "outlet_id", "left")

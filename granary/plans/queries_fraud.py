@@ -50,6 +50,25 @@ def q_features_proxy(spark, d):
     return out.select("outlet_id", "region", "total_cards", "staple_per_card", "collection_rate")
 
 
+@query(
+    "outlet_features_stored_counts",
+    "D1 G2",
+    with_(LIFTS)
+    + """, known as (select *, case when txn_id % 3 <> 0 then txn_id % 40 + 1 end as stored, case when txn_id % 4 <> 0 then 'r' || (txn_id % 5) end as seen from lifts)
+    select outlet_id, cast((min({'t': lift_ts, 'v': stored}) filter (stored is not null)).v as bigint) as total_cards,
+      (min({'t': lift_ts, 'v': seen}) filter (seen is not null)).v as region from known group by 1""",
+)
+def q_features_stored(spark, d):
+    """Counts and regions as files store them, now and then missing and changing: the first known one counts."""
+    rows = fixtures.lifts(spark, d).withColumns(
+        {
+            "total_cards": F.expr("case when txn_id % 3 <> 0 then txn_id % 40 + 1 end"),
+            "region": F.expr("case when txn_id % 4 <> 0 then concat('r', txn_id % 5) end"),
+        }
+    )
+    return outlet_features(rows, items=fixtures.ITEMS).select("outlet_id", "total_cards", "region")
+
+
 @query(
     "outlet_features_by_month",
     "D1 G2",
@@ -271,6 +290,21 @@ def q_quick(spark, d):
     return out.select("outlet_id", "rule", "score", "severity", "is_flagged")
 
 
+@query(
+    "quick_report_scores_with_model",
+    "D31 S1",
+    with_(*SCORED_CTES)
+    + f""", s as (select outlet_id, greatest(anomaly_score, coalesce(case when staple_per_card > 11
+              then least(1.0::double, 0.85::double + (staple_per_card - 11.0::double) / 11.0::double)
+             when collection_rate > 0.5 then least(1.0::double, 0.90::double + (collection_rate - 0.5::double) * 0.5::double) end, 0.0::double)) as raw from scored)
+      select outlet_id, {sql_round("raw", 3)} as score, raw >= 0.6 as is_flagged from s""",
+)
+def q_quick_model(spark, d):
+    """Rules against a model's score of the report; the larger one counts."""
+    reports = inputs.scored_features(spark, d).withColumn("model_score", F.col("anomaly_score"))
+    return ru.quick_score(reports, ceiling=inputs.CEILING, phantom_rate=0.5).select("outlet_id", "score", "is_flagged")
+
+
 @lru_cache(maxsize=16)
 def rule_and_statistical_alerts(spark, d):
     """Canonical, de-duplicated alerts of the two deterministic detectors."""
