@@ -21,7 +21,8 @@ def con():
 def test_query(spark, con, name):
     problem, rows = compare(spark, con, QUERIES[name], SF)
     assert problem is None, problem
-    assert rows >= 0
+    # Without a twin at least something must come out; tests of the models say what.
+    assert rows > 0 or QUERIES[name].sql is not None
 
 
 def test_names_are_plain():
