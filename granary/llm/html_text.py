@@ -61,9 +61,11 @@ NAMES = set(
         "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
         "notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead comment comments "
         "commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe signup login popup modal overlay "
-        "widget widgets pagination pager toolbar skip"
+        "widget widgets pagination pager toolbar skip discussion feedback responses rail topbar crumbs adbox adslot adunit copyright disclaimer paywall"
     )
 )
+#: A class or id made of these words only, "header" among them, is the header of the page.
+HEADER_WORDS = {"", "header", "site", "page", "main", "global", "top"}
 KEEP = {"article", "main", "body", "html"}
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -141,8 +143,12 @@ class Page:
                 return True
             if name == "role" and value.strip() in ROLES:
                 return True
-            if name in ("class", "id") and not NAMES.isdisjoint(_SPLIT.split(value)):
-                return True
+            if name in ("class", "id"):
+                words = set(_SPLIT.split(value))
+                if not NAMES.isdisjoint(words):
+                    return True
+                if "header" in words and words <= HEADER_WORDS and not self._in_article():
+                    return True
         return tag == "header" and not self._in_article()
 
     def _in_article(self) -> bool:
