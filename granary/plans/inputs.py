@@ -5,13 +5,12 @@ A cache instead would put the whole history of each table into every later plan.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.features import outlet_features, with_baseline
 from granary.operators.statistical import score_outlets
+from granary.plans.memo import remembered
 from granary.session import stored
 from granary.sources import fixtures
 
@@ -26,7 +25,7 @@ def keep(df: DataFrame) -> DataFrame:
     return stored(df)
 
 
-@lru_cache(maxsize=16)
+@remembered
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep(
         outlet_features(
@@ -40,7 +39,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=16)
+@remembered
 def scored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features with the baseline of their region, the robust z of each signal and the composite score."""
     return keep(score_outlets(with_baseline(features(spark, sf_dir))))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from granary.operators import forecast as fc
 from granary.plans import inputs
+from granary.plans.memo import remembered
 from granary.plans.queries_scores import gaps
 from granary.plans.registry import query
 from granary.plans.sql import LIFTS, OUTLETS, with_
@@ -43,12 +42,12 @@ GROWN = f"""grown as (
   from (select outlet_id, item, max_by(quantity, month) as base, max(month) as last_month from series group by 1, 2), range(1, 4) t(m))"""
 
 
-@lru_cache(maxsize=16)
+@remembered
 def series(spark, d):
     return inputs.keep(fc.monthly_series(fixtures.lifts(spark, d)))
 
 
-@lru_cache(maxsize=16)
+@remembered
 def regions(spark, d):
     return inputs.keep(fc.region_series(fixtures.lifts(spark, d)))
 
@@ -187,7 +186,7 @@ tested as (select h.outlet_id, h.item, month, cast(month_offset as integer) as m
   case when month_offset = 1 then p1 else p2 end as predicted from held h join models using (outlet_id, item))"""
 
 
-@lru_cache(maxsize=16)
+@remembered
 def tested(spark, d):
     return inputs.keep(fc.backtest(series(spark, d)))
 
@@ -250,7 +249,7 @@ def q_seasonal(spark, d):
     return fc.seasonal(regions(spark, d), fc.holiday_days(fc.fixed_holidays(regions(spark, d))))
 
 
-@lru_cache(maxsize=16)
+@remembered
 def forecasts(spark, d):
     lifts = fixtures.lifts(spark, d)
     return inputs.keep(fc.forecast_run(fixtures.outlets(spark, d), lifts, ALL_ITEMS))

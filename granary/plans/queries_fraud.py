@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from granary.operators import alerts as al
@@ -11,6 +9,7 @@ from granary.operators import rules as ru
 from granary.operators import statistical as st
 from granary.operators.features import outlet_features, region_baseline, tukey_share
 from granary.plans import inputs
+from granary.plans.memo import remembered
 from granary.plans.registry import query
 from granary.plans.sql import BASE, BASELINE, FEATURE_CTES, LIFTS, OUTLETS, SCORED_CTES, with_
 from granary.plans.sql import half_even as sql_round
@@ -305,7 +304,7 @@ def q_quick_model(spark, d):
     return ru.quick_score(reports, ceiling=inputs.CEILING, phantom_rate=0.5).select("outlet_id", "score", "is_flagged")
 
 
-@lru_cache(maxsize=16)
+@remembered
 def rule_and_statistical_alerts(spark, d):
     """Canonical, de-duplicated alerts of the two deterministic detectors."""
     scored = inputs.scored_features(spark, d)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from granary.operators import geo as ge
 from granary.operators import reports as rp
 from granary.operators.alerts import max_score
 from granary.plans import inputs
+from granary.plans.memo import remembered
 from granary.plans.queries_fraud import ALERT_CTES, rule_and_statistical_alerts
 from granary.plans.queries_scores import DEMAND, GAPS, MIX, gaps
 from granary.plans.registry import query
@@ -33,7 +32,7 @@ NEAR = f"""dist as (select m.*, d.distance_km from members m join (
 NEAR_CTES = (OUTLETS, MEMBERS, NEAR)
 
 
-@lru_cache(maxsize=16)
+@remembered
 def distances(spark, d):
     return inputs.keep(ge.nearest_outlet(fixtures.members(spark, d), fixtures.outlets(spark, d)))
 
@@ -123,7 +122,7 @@ USE = """used as (select o.*, coalesce(collection_rate, 0.0::double) as utilisat
    from outlets o left join features f using (outlet_id))"""
 
 
-@lru_cache(maxsize=16)
+@remembered
 def used(spark, d):
     return inputs.keep(ge.utilisation(fixtures.outlets(spark, d), inputs.features(spark, d)))
 
@@ -180,7 +179,7 @@ vulnerable as (select *, case when vulnerability <= 20 then 'Low' when vulnerabi
 VULNERABLE_CTES = (*ALERT_CTES, MIX, DEMAND, GAPS, OUTLETS, USE, VULNERABLE)
 
 
-@lru_cache(maxsize=16)
+@remembered
 def vulnerable(spark, d):
     return ge.vulnerability(used(spark, d), gaps(spark, d), max_score(rule_and_statistical_alerts(spark, d)))
 

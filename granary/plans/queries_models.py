@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from granary.operators import alerts as al
@@ -14,6 +12,7 @@ from granary.operators import rules as ru
 from granary.operators import statistical as st
 from granary.operators.scaling import standard_scale
 from granary.plans import inputs
+from granary.plans.memo import remembered
 from granary.plans.queries_fraud import RULE_SETTINGS, RUN_DATE, STAT_LIMITS
 from granary.plans.queries_reports import EVENTS
 from granary.plans.registry import query
@@ -43,7 +42,7 @@ COMPONENTS = spread_labels("lab", "links", ROUNDS)
 GRAPH_CTES = (EVENTS, PURCHASES, LINKS, COMPONENTS)
 
 
-@lru_cache(maxsize=16)
+@remembered
 def edges(spark, d):
     return inputs.keep(gr.card_outlet_edges(fixtures.card_events(spark, d)))
 
@@ -71,7 +70,7 @@ def q_event_edges(spark, d):
     return edges(spark, d)
 
 
-@lru_cache(maxsize=16)
+@remembered
 def components(spark, d):
     return inputs.keep(gr.graph_components(edges(spark, d)))
 
@@ -151,7 +150,7 @@ rings as (select l as community, n_cards, n_outlets, n_edges, total, multi_cards
   from kinds join multi using (l) join sums using (l) join hubs using (l))"""
 
 
-@lru_cache(maxsize=16)
+@remembered
 def rings(spark, d):
     return inputs.keep(gr.ring_scores(edges(spark, d), components(spark, d)))
 
@@ -205,7 +204,7 @@ CLUSTERS = """clusters as (
 CLUSTER_CTES = (*FEATURE_CTES, SCALED, CORE_LABELS, CLUSTERS)
 
 
-@lru_cache(maxsize=16)
+@remembered
 def clusters(spark, d):
     scaled = standard_scale(inputs.features(spark, d), CLUSTER_COLUMNS)
     return inputs.keep(de.cluster(scaled, "outlet_id", CLUSTER_COLUMNS, EPS, MIN_POINTS))
@@ -254,7 +253,7 @@ def q_lift_clusters(spark, d):
     )
 
 
-@lru_cache(maxsize=16)
+@remembered
 def forest_scores(spark, d):
     features = inputs.scored_features(spark, d)
     forest = fo.train(features, "outlet_id")
@@ -271,7 +270,7 @@ def q_forest_alerts(spark, d):
     return fo.findings(forest_scores(spark, d), ceiling=inputs.CEILING)
 
 
-@lru_cache(maxsize=16)
+@remembered
 def all_alerts(spark, d):
     """All five detectors, canonical and de-duplicated."""
     scored = inputs.scored_features(spark, d)

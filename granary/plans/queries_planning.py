@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from granary.operators import planning as pl
 from granary.plans import inputs
+from granary.plans.memo import remembered
 from granary.plans.registry import query
 from granary.plans.sql import LIFTS, with_
 from granary.plans.sql import half_even as r
@@ -75,7 +74,7 @@ CTES = {
 IDS = {"proportional": "L1 L5 L6 W11", "optimized": "L2 L5 L6 W11", "equity_first": "L3 L5 L6", "risk_averse": "L4 L5 L6"}
 
 
-@lru_cache(maxsize=16)
+@remembered
 def plan_tables(spark, d):
     lifts = fixtures.lifts(spark, d)
     nations = fixtures.table(spark, d, "nation").select("n_name", F.col("n_nationkey").alias("k"))
@@ -115,7 +114,7 @@ for _policy in pl.POLICIES:
     _policy_query(_policy)
 
 
-@lru_cache(maxsize=16)
+@remembered
 def realised(spark, d):
     return inputs.keep(pl.realise(pl.allocate(*plan_tables(spark, d), **INSPECTION)))
 

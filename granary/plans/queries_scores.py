@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from granary.operators import entitlement as en
@@ -11,6 +9,7 @@ from granary.operators import scoring as sc
 from granary.operators.alerts import max_score
 from granary.operators.forecast import monthly_series
 from granary.plans import inputs
+from granary.plans.memo import remembered
 from granary.plans.queries_fraud import ALERT_CTES, rule_and_statistical_alerts
 from granary.plans.registry import query
 from granary.plans.sql import FEATURE_CTES, with_
@@ -37,7 +36,7 @@ gaps as (select *, case when gap_pct > 80 then 'critically_under_supplied' when
 GAP_CTES = (*FEATURE_CTES, MIX, DEMAND, GAPS)
 
 
-@lru_cache(maxsize=16)
+@remembered
 def gaps(spark, d):
     features = inputs.features(spark, d)
     return inputs.keep(en.supply_gap(features, fixtures.card_mix(spark, d, features)))
@@ -156,7 +155,7 @@ outlet_scores as (
 SCORE_CTES = (*ALERT_CTES, MIX, DEMAND, GAPS, VARIATION, OUTLET_SCORES)
 
 
-@lru_cache(maxsize=16)
+@remembered
 def outlet_scores(spark, d):
     """Scores on gaps, alerts and the monthly variation; the target suits the test quantities."""
     months = monthly_series(fixtures.lifts(spark, d).where(F.col("item") == fixtures.ITEMS["staple"]))
@@ -240,7 +239,7 @@ region_scores as (select *, case when health_index < 30 then 'Urgent, intervene
 REGION_CTES = (*SCORE_CTES, REGION_SCORES)
 
 
-@lru_cache(maxsize=16)
+@remembered
 def region_scores(spark, d):
     return inputs.keep(sc.score_regions(outlet_scores(spark, d), rule_and_statistical_alerts(spark, d)))
 

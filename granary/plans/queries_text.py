@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from granary.operators import alerts as al
 from granary.operators import reports as rp
 from granary.operators import retrieval as rt
 from granary.plans import inputs
+from granary.plans.memo import remembered
 from granary.plans.queries_fraud import rule_and_statistical_alerts
 from granary.plans.queries_reports import SHOWN_CTES, shown
 from granary.plans.registry import query
@@ -64,17 +63,17 @@ def documents(spark, d):
     return fixtures.table(spark, d, "documents")
 
 
-@lru_cache(maxsize=16)
+@remembered
 def doc_terms(spark, d):
     return inputs.keep(rt.terms(documents(spark, d), "doc_id", STOP_WORDS))
 
 
-@lru_cache(maxsize=16)
+@remembered
 def vocab(spark, d):
     return inputs.keep(rt.vocabulary(doc_terms(spark, d), "doc_id", documents(spark, d)))
 
 
-@lru_cache(maxsize=16)
+@remembered
 def index(spark, d):
     return inputs.keep(rt.weights(doc_terms(spark, d), vocab(spark, d), "doc_id"))
 

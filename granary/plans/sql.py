@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 def with_(*parts: str) -> str:
     """``with`` clause from CTE texts, each CTE once."""
     seen: list[str] = []
