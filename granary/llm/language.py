@@ -92,7 +92,7 @@ class LanguageModel:
         return gain / gain.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, lang_col: str = "lang", per_language: int = 400, ridge: float = 1e-3) -> LanguageModel | None:
+def train(docs: DataFrame, lang_col: str = "lang", per_language: int = 300, ridge: float = 1e-3) -> LanguageModel | None:
     """Learn from at most ``per_language`` texts of each language (columns doc_id, text and ``lang_col``)."""
     known = docs.select("doc_id", F.col(lang_col).alias("lang"), "text").where("lang is not null and text is not null")
     ids = sampled_ids(known, "lang", per_language)
@@ -119,25 +119,27 @@ def train(docs: DataFrame, lang_col: str = "lang", per_language: int = 400, ridg
         return None
     names = rows.column("lang").to_pylist()
     languages = tuple(sorted(set(names)))
-    x = np.zeros((len(names), 1 << HASH_BITS), dtype=np.float32)
+    # One dense matrix of the sample in single precision is all that the driver holds.
+    z = np.zeros((len(names), 1 << HASH_BITS), dtype=np.float32)
     for i, (p, v) in enumerate(zip(rows.column("place"), rows.column("value"))):
-        x[i, p.values.to_numpy()] = v.values.to_numpy()
+        z[i, p.values.to_numpy()] = v.values.to_numpy()
+    del rows
     code = codewords(len(languages))
     label = np.array([languages.index(name) for name in names])
     y = code[label]
     # Classes weigh the same, and the problem has as many unknowns as rows.
     weight = (len(label) / (len(languages) * np.bincount(label, minlength=len(languages))))[label]
-    middle = (weight @ x) / weight.sum()
+    middle = (weight.astype(np.float32) @ z) / np.float32(weight.sum())
     target = (weight @ y) / weight.sum()
-    z = x - middle.astype(np.float32)
-    gram = (z @ z.T).astype(float)
-    dual = np.linalg.solve(gram + ridge * len(label) * np.diag(1 / weight), y - target)
-    weights = z.T.astype(float) @ dual
+    z -= middle
+    gram = (z @ z.T).astype(np.float64)
+    gram[np.diag_indices(len(gram))] += ridge * len(label) / weight
+    weights = z.T @ np.linalg.solve(gram, y - target).astype(np.float32)
     offset = target - middle @ weights
     # A bit counts by its accuracy on the learning rows, above chance.
-    right = ((np.sign(x @ weights + offset) == y) * weight[:, None]).sum(axis=0) / weight.sum()
+    right = ((np.sign(z @ weights + target) == y) * weight[:, None]).sum(axis=0) / weight.sum()
     trust = np.maximum(right - 0.5, 1e-3)
-    return LanguageModel(languages, code, weights.astype(np.float32), offset, trust / trust.sum())
+    return LanguageModel(languages, code, weights, offset, trust / trust.sum())
 
 
 def predict(
@@ -167,7 +169,7 @@ def predict(
     return docs.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous. Only rows of folds 1 to 4 are learnt from."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = train(base.where(fold("doc_id") != 0), "lang", per_language)
