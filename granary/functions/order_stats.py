@@ -118,9 +118,13 @@ def gini(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: str, tie: str, amount: str, name: str
+    df: DataFrame, keys: Sequence[str], order: str, tie: str, amount: str, name: str, zeros: bool = True
 ) -> DataFrame:
-    """Sum of ``amount`` over the rows up to and including this one, by ``order`` then ``tie``."""
+    """Sum of ``amount`` over the rows up to and including this one, by ``order`` then ``tie``.
+
+    Without ``zeros`` the rows of amount 0, which change no total and often share one value of ``order``,
+    are dealt out by hash and get the total at the start of their bucket only.
+    """
     ready = df.withColumn("bucket", order_bucket(F.col(order).cast("double")))
     group = Window.partitionBy(*keys)
     starts = (
@@ -132,7 +136,8 @@ def running_total(
             (F.sum("in_bucket").over(group.orderBy("bucket")) - F.col("in_bucket")).alias("start"),
         )
     )
-    inside = Window.partitionBy(*keys, "bucket").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = F.when(F.lit(not zeros) & (F.col(amount) == 0), 1 + F.pmod(F.xxhash64(tie), F.lit(1024))).otherwise(0)
+    inside = Window.partitionBy(*keys, "bucket", dealt).orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
     return (
         ready.join(starts, [*keys, "bucket"])
         .withColumn(name, F.col("start") + F.sum(amount).over(inside))

@@ -72,7 +72,7 @@ def _amounts(rows: DataFrame) -> DataFrame:
     benefit, so a running total replaces the solver.
     """
     # Every total is a self-join; cutting here keeps the plan from doubling with each of them.
-    rows = cut(running_total(_prepare(rows), ["scenario", "policy", "period"], "__order", "area", "__take", "__used"))
+    rows = cut(running_total(_prepare(rows), ["scenario", "policy", "period"], "__order", "area", "__take", "__used", zeros=False))
     level = "least(1D, supply / case when __short > 0 then __short end)"
     rows = rows.withColumn(
         "__even", F.expr(f"case policy when 'equity_first' then greatest(0D, {level} * demand_mean - inventory) end")
@@ -105,7 +105,7 @@ def _inspections(rows: DataFrame, cost: float) -> DataFrame:
             "__rank": F.expr("case when __must or __gain <= 0 then 0D else -__gain end"),
         }
     )
-    out = running_total(out, ["scenario", "policy", "period"], "__rank", "area", "__choice", "__place")
+    out = running_total(out, ["scenario", "policy", "period"], "__rank", "area", "__choice", "__place", zeros=False)
     return out.withColumn(
         "inspect", F.expr(f"__must or (__choice = 1 and __musts + __place <= floor(budget / {cost}D))")
     )
