@@ -141,9 +141,9 @@ def test_planted_ring_is_found(spark):
     lifts = lifts.withColumn("lift_ts", F.lit("2024-01-01").cast("timestamp_ntz"))
     edges = graph.card_outlet_edges(lifts)
     for communities in (graph.graph_components(edges), graph.label_communities(edges)):
-        rings = graph.ring_scores(edges, communities, rounds=10).collect()
+        rings = graph.ring_scores(edges, communities).collect()
         assert [(r.n_cards, r.n_outlets, r.density, r.unverified_share) for r in rings] == [(3, 2, 1.0, 1.0)]
-        alert = graph.ring_alerts(graph.ring_scores(edges, communities, rounds=10), communities).first()
+        alert = graph.ring_alerts(graph.ring_scores(edges, communities), communities).first()
         assert alert.ring.cards == ["c0", "c1", "c2"] and alert.outlet_id == "s0"
 
 
