@@ -28,6 +28,8 @@ from granary.llm.text import Texts, pieces, ranges
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Known words that a task remembers.
+WORDS = 300_000
 
 
 def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,19 +207,9 @@ class PieceModel:
         return [raw[a + 1 : b] if raw[a : a + 1] == b" " else raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-_TABLES: dict[int, ChunkTable] = {}
-
-
-def _table(model: PieceModel) -> ChunkTable:
-    key = zlib.crc32(model.base.tobytes()) ^ zlib.crc32(model.scores.tobytes())
-    if key not in _TABLES:
-        _TABLES[key] = ChunkTable(model.solve)
-    return _TABLES[key]
-
-
-def encode(model: PieceModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and how many each has."""
-    return document_ids(_table(model), texts, model.chunks)
+def encode(model: PieceModel, texts: list[str], table: ChunkTable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and how many each has. ``table`` holds the words of earlier calls."""
+    return document_ids(table or ChunkTable(model.solve, WORDS), texts, model.chunks)
 
 
 def tokenised(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -228,9 +220,10 @@ def tokenised(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         own = shared.value
+        table = ChunkTable(own.solve, WORDS)
         for piece in pieces(batches, text_col):
             texts = piece.column(text_col).to_pylist()
-            ids, counts = encode(own, texts)
+            ids, counts = encode(own, texts, table)
             decoded = own.decode(ids, counts)
             same = [t is None or t.encode() == d for t, d in zip(texts, decoded)]
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
@@ -255,9 +248,10 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         own = shared.value
         is_byte = np.zeros(len(own.pieces), dtype=np.int64)
         is_byte[own.byte_ids] = 1
+        table = ChunkTable(own.solve, WORDS)
         for piece in pieces(batches, "text"):
             texts = piece.column("text").to_pylist()
-            ids, counts = encode(own, texts)
+            ids, counts = encode(own, texts, table)
             bounds = np.append(0, np.cumsum(counts))
             source = Texts(piece.column("text"))
             raw, limits = source.raw.tobytes(), source.bounds.tolist()

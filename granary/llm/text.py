@@ -1,18 +1,17 @@
 """Whole-array text helpers for Arrow batches: words, word hashes, n-gram hashes, ragged ranges.
 
-A batch is cut into pieces of a few megabytes (never inside a document), and every step below works on
+A batch is cut into pieces of half a megabyte (never inside a document), and every step below works on
 all bytes or all words of a piece at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 #: The bytes that separate words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -23,19 +22,19 @@ _BASE = 0x9E3779B97F4A7C15
 _GRAM = 0xD6E8FEB86659FD93
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 (base is odd)."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(size, b, dtype=np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(16, int(size).bit_length()))
+    """base^i and base^-i modulo 2^64 (base is odd) for i below ``size`` at least; kept for the next call."""
+    if base not in _POWERS or len(_POWERS[base][0]) < size:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(1 << max(16, int(size).bit_length()), b, dtype=np.uint64)
+            steps[0] = 1
+            out.append(np.cumprod(steps, dtype=np.uint64))
+        _POWERS[base] = out[0], out[1]
+    return _POWERS[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
