@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines leave the texts; ``n_chars`` follows."""
-    cleaned = lines.clean(docs)
+    """All boilerplate lines leave the texts; ``n_chars`` follows."""
+    cleaned = lines.clean(docs, whole=True)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

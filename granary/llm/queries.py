@@ -64,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"), whole=True)
+
+
 SUBSTRING_SQL = rf"""
 with words as (
     select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents
@@ -135,6 +139,25 @@ union all
 select doc_id, 0, 0, false, sha256('') from documents where text is null
 """
 
+LINES_WHOLE_SQL = rf"""
+with near as ({MINHASH_SQL}), lines as (
+    select doc_id, source, i, string_split(text, chr(10))[i] as line
+    from (select doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null)
+), marked as (
+    select *, trim(line) as t, len(regexp_extract_all(trim(line), '[^ \t\x0B\f\r]+')) >= 1 as fit from lines
+), spread as (
+    select t from marked where fit and doc_id in (select doc_id from near where kept) group by t having count(distinct source) >= 10
+), decided as (
+    select *, fit and t in (select t from spread) as gone from marked
+)
+select doc_id, count(*) as n_lines, count_if(gone) as n_removed,
+    2 * sum(case when gone then 0 else length(t) end) < sum(length(t)) and count_if(gone) > 0 as mostly_shared,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from decided group by doc_id
+union all
+select doc_id, 0, 0, false, sha256('') from documents where text is null
+"""
+
 VECTOR_SQL = """
 with recursive v as (
     select vec_id, label, embedding::double[] as x from embeddings
@@ -166,6 +189,7 @@ QUERIES: dict[str, Plan] = {
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
+    "op10_line_dedup_whole": op10_line_dedup_whole,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -173,4 +197,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_minhash_dedup": MINHASH_SQL,
     "op7_embedding_dedup": VECTOR_SQL,
     "op10_line_dedup": LINES_SQL,
+    "op10_line_dedup_whole": LINES_WHOLE_SQL,
 }

@@ -148,6 +148,23 @@ def test_sites_near_the_threshold_are_counted(spark):
     assert lines.boilerplate(docs, min_sites=200).count() == 6
 
 
+def test_every_shared_line_goes_and_copies_keep_their_own(spark):
+    rng = random.Random(11)
+    own = [" ".join(f"w{rng.randrange(999)}" for _ in range(12)) for _ in range(20)]
+    base = [" ".join(f"v{rng.randrange(999)}" for _ in range(30)) for _ in range(3)]
+    short = [(i, f"read this shared line today\nMenu\nx{i} y", f"s{i}") for i in range(12)]
+    pages = [(20 + i, f"Menu\n{own[i]}", f"s{i}") for i in range(12)]
+    exact = [(40 + i, "\n".join(base), f"s{i}") for i in range(12)]
+    near = [(60 + i, "\n".join([own[12], own[13], own[14], own[15], own[16], f"number {i}"]), f"s{i}") for i in range(12)]
+    table = spark.createDataFrame([*short, *pages, *exact, *near], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in lines.clean(table, whole=True).collect()}
+    assert got == {**{i: f"x{i} y" for i, _, _ in short}, **{i: t.split("\n")[1] for i, t, _ in pages}, **{i: t for i, t, _ in [*exact, *near]}}
+    report = {r.doc_id: r for r in lines.report(table, whole=True).collect()}
+    assert (report[0].n_removed, report[0].mostly_shared, report[40].n_removed, report[60].n_removed) == (2, True, 0, 0)
+    through = corpus_pipeline.remove_lines(spark, table.withColumn("n_chars", table.doc_id), "")
+    assert {r.doc_id: r.text for r in through.collect()} == got
+
+
 def test_language(docs, none, spark):
     got = language.identify(docs).collect()
     assert len(got) == docs.count() and language.identify(none).count() == 0
