@@ -2,12 +2,13 @@
 
 A tree splits by random directions at the median of a bounded sample (``SAMPLE`` vectors with the smallest hash
 of their id; only the medians come from it). Every vector is sent down every tree. One that lies near a
-split goes to both sides, so two close vectors are parted only if they lie on either side of the margin. In
-each leaf all vectors of one label are compared with each other by matrix products in double precision.
+split goes to both sides, so two close vectors are parted only if they lie on either side of the margin. A
+node is not cut where the cut would send so many to both sides that no comparison is saved. A leaf over ``BOUND``
+vectors is dealt by hash into blocks, and each pair of blocks is a cell of its own. In each leaf or cell all vectors of one label are compared with each other by matrix products in double precision.
 
 Equal vectors with equal label are one class with a multiplicity, represented by the smallest id. A pair of
 classes is counted in the first leaf that holds both, found from the leaf lists that each row carries, so links are
-counted without emitting pairs; per leaf only a count and one tree edge per vector leave the task. Edges of
+counted without emitting pairs; per leaf or cell only a count and one tree edge per vector leave the task. Edges of
 all leaves are united by connected components.
 
 Vectors that are null, empty, all zero, or hold null or non-finite components, and those with null label or
@@ -28,10 +29,16 @@ from granary.operators.graph import connected_components
 SAMPLE = 20_000
 LEAF = 300
 BLOCK = 1024
+BOUND = 2048
+#: Two sides of (1 + share) / 2 of a node have as many pairs as the node at a share of 0.41.
+MOST_ON_BOTH = 0.4
 
 
-def grow(points: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Directions and thresholds of the inner nodes of a complete binary tree, in heap order."""
+def grow(points: np.ndarray, depth: int, seed: int, margin: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and thresholds of the inner nodes of a complete binary tree, in heap order.
+
+    A node that is not cut has an infinite threshold: all go to its left side.
+    """
     rng = np.random.default_rng(seed)
     nodes = (1 << depth) - 1
     directions = rng.standard_normal((max(nodes, 1), points.shape[1]))
@@ -42,6 +49,8 @@ def grow(points: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndar
         own = held.pop(node)
         along = points[own] @ directions[node]
         cuts[node] = np.median(along) if len(own) else 0.0
+        if len(own) and (np.abs(along - cuts[node]) <= margin).mean() > MOST_ON_BOTH:
+            cuts[node] = np.inf
         held[2 * node + 1], held[2 * node + 2] = own[along <= cuts[node]], own[along > cuts[node]]
     return directions[:nodes], cuts[:nodes]
 
@@ -104,14 +113,31 @@ def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def leaf_links(rep: np.ndarray, n: np.ndarray, unit: np.ndarray, codes: np.ndarray, leaf: int, least: float):
-    """Per vector of a leaf: links that are counted here, and the smallest id linked with it in the leaf."""
+def fold(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest position that each one reaches, with the edges (i, j) added."""
+    while True:
+        open_ = root[i] != root[j]
+        i, j = i[open_], j[open_]
+        if not len(i):
+            return root
+        a, b = root[i], root[j]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def leaf_links(rep: np.ndarray, n: np.ndarray, unit: np.ndarray, codes: np.ndarray, leaf: int, least: float, block: np.ndarray | None = None):
+    """Per vector of a leaf: links that are counted here, and the smallest position linked with it in the leaf.
+
+    With ``block``, only vectors of different blocks are compared.
+    """
     links = np.zeros(len(rep), dtype=np.int64)
     root = np.arange(len(rep))
     padded = np.where(codes < 0, -2, codes)
-    edges = []
     for at in range(0, len(rep), BLOCK):
         close = unit[at : at + BLOCK] @ unit.T >= least
+        if block is not None:
+            close &= block[at : at + BLOCK, None] != block
         i, j = np.nonzero(close)
         i += at
         upper = rep[i] < rep[j]
@@ -121,18 +147,24 @@ def leaf_links(rep: np.ndarray, n: np.ndarray, unit: np.ndarray, codes: np.ndarr
             own = first_shared(codes[a], padded[b]) == leaf
             links += np.bincount(a[own], weights=n[b[own]], minlength=len(rep)).astype(np.int64)
             links += np.bincount(b[own], weights=n[a[own]], minlength=len(rep)).astype(np.int64)
-        edges.append((i, j))
-    i, j = (np.concatenate(x) for x in zip(*edges))
-    while len(i):  # smallest position reachable inside the leaf
-        before = root.copy()
-        np.minimum.at(root, i, root[j])
-        np.minimum.at(root, j, root[i])
-        root = root[root]
-        if (root == before).all():
-            break
+        root = fold(root, i, j)
     return links, root
 
 
+CELL = ["label", "dim", "leaf", "i", "j"]
+
+
+def _cells(placed: DataFrame) -> DataFrame:
+    """Leaves over ``BOUND`` rows dealt by hash into blocks; each row goes to every cell of its block and another."""
+    key = ["label", "dim", "leaf"]
+    large = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BOUND)
+    blocks = F.broadcast(large.select(*key, F.ceil(F.col("k") / BOUND).alias("blocks")))
+    dealt = placed.join(blocks, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
 def _compared(least: float):
     def solve(rows: pa.Table):
         rows = rows.combine_chunks()
@@ -145,7 +177,9 @@ def _compared(least: float):
         codes = np.full((len(size), size.max()), -1, dtype=np.int64)
         codes[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
         rep = rows.column("rep").to_numpy()
-        links, root = leaf_links(rep, rows.column("n").to_numpy(), unit, codes, rows.column("leaf")[0].as_py(), least)
+        across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        block = rows.column("block").to_numpy() if across else None
+        links, root = leaf_links(rep, rows.column("n").to_numpy(), unit, codes, rows.column("leaf")[0].as_py(), least, block)
         some = np.flatnonzero((links > 0) | (root != np.arange(len(rep))))
         return pa.record_batch([pa.array(rep[some]), pa.array(links[some]), pa.array(rep[root[some]])], names=["rep", "links", "root"])
 
@@ -157,7 +191,7 @@ def _compared(least: float):
             if not table.num_rows:
                 continue
             change = np.zeros(table.num_rows - 1, dtype=bool)
-            for k in ("label", "dim", "leaf"):
+            for k in CELL:
                 x = table.column(k).to_numpy()
                 change |= x[1:] != x[:-1]
             cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
@@ -181,9 +215,9 @@ def _leaf_rows(classes: DataFrame, trees: int, least: float, seed: int) -> DataF
         sample = some.orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(SAMPLE).toArrow()
         points = _unit(sample.column("embedding").combine_chunks(), dim)
         depth = max(0, int(np.ceil(np.log2(largest / LEAF))))
-        forest = [grow(points, depth, seed + t) for t in range(trees)]
         # 0.8 standard deviations of the difference that two vectors at the threshold have along a direction.
         margin = 0.8 * np.sqrt(2 * (1 - least) / dim)
+        forest = [grow(points, depth, seed + t, margin) for t in range(trees)]
         rows = own.select("rep", "label", "n", "embedding").mapInArrow(
             _placed(forest, margin), "rep long, label long, n long, embedding array<double>, leaf long, leaves array<long>"
         )
@@ -207,7 +241,7 @@ def near_vectors(
     placed = _leaf_rows(classes, trees, least, seed)
     if placed is None:
         return _result(base.select("vec_id"), None, None)
-    grouped = placed.repartition("label", "dim", "leaf").sortWithinPartitions("label", "dim", "leaf")
+    grouped = _cells(placed).repartition(*CELL).sortWithinPartitions(*CELL)
     found = stored(grouped.mapInArrow(_compared(least), "rep long, links long, root long"), "leaves")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     members = usable.join(classes, ["label", "embedding"]).select("vec_id", "rep", "n")

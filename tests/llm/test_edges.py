@@ -324,6 +324,26 @@ def test_vectors(spark):
     assert vectors.near_vectors(empty).count() == 0
 
 
+def test_tight_groups_of_vectors_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    tight = rng.normal(size=16) + rng.normal(size=(700, 16)) * 0.01
+    x = np.concatenate([tight, rng.normal(size=(1400, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    margin = 0.8 * np.sqrt(2 * 0.02 / 16)
+    # A cut through a tight group saves nothing, so its rows do not multiply level by level.
+    assert len(vectors.leaves(tight / np.linalg.norm(tight, axis=1, keepdims=True), vectors.grow(x[:700], 8, 5, margin), margin)[0]) == 700
+    monkeypatch.setattr(vectors, "BOUND", 100)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    cells = vectors._cells(
+        table.selectExpr("vec_id as rep", "0L as label", "1L as n", "embedding", "0L as leaf", "array(0L) as leaves", "16 as dim")
+    ).groupBy(*vectors.CELL).count().collect()
+    assert len(cells) == 21 * 22 // 2 and max(r["count"] for r in cells) < 350
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(table).collect()}
+    close = x @ x.T >= 0.98
+    root = vectors.fold(np.arange(len(x)), *np.nonzero(close))
+    assert got == {i: (int(close[i].sum()) - 1, int(root[i])) for i in range(len(x))}
+
+
 def test_pages(spark):
     page = html_text.main_text
     assert page(None) == page("") == page("<script>x</script>") == page("<nav>menu</nav>") == ""
