@@ -16,7 +16,7 @@ from granary.session import cut
 CLUSTER_COLUMNS = ["staple_per_card", "collection_rate", "fuel_per_card"]
 
 
-def detect_all(
+def detect_with_members(
     features: DataFrame,
     lifts: DataFrame,
     run_date: str,
@@ -24,20 +24,30 @@ def detect_all(
     rule_limits: dict | None = None,
     min_edge_weight: int = 1,
     threshold: float = 0.6,
-) -> DataFrame:
-    """Alerts of all five detectors in the canonical schema, de-duplicated."""
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Alerts of all five detectors in the canonical schema, de-duplicated; and all members of rings and clusters."""
     scored = cut(statistical.score_outlets(with_baseline(features)))
     parts = [statistical.detect(scored, **(limits or {})), rules.apply_rules(scored, **(rule_limits or {}))]
     model = forest.train(scored, "outlet_id")
     if model is not None:
         placed = scored.join(forest.training_scores(model, "outlet_id"), "outlet_id")
         parts.append(forest.findings(placed, threshold))
-    groups = density.cluster(standard_scale(features, CLUSTER_COLUMNS), "outlet_id", CLUSTER_COLUMNS)
+    groups = cut(density.cluster(standard_scale(features, CLUSTER_COLUMNS), "outlet_id", CLUSTER_COLUMNS))
     parts.append(density.cluster_findings(groups, features))
     edges = cut(graph.card_outlet_edges(lifts, min_edge_weight))
     communities = cut(graph.label_communities(edges))
-    parts.append(graph.ring_alerts(graph.ring_scores(edges, communities), communities))
-    return al.union_alerts(parts, run_date)
+    rings = cut(graph.ring_scores(edges, communities))
+    parts.append(graph.ring_alerts(rings, communities))
+    members = {
+        "ring_members": communities.join(rings.select("community"), "community", "left_semi").select("community", "vertex"),
+        "cluster_members": groups.where("cluster is not null").select("cluster", "outlet_id"),
+    }
+    return al.union_alerts(parts, run_date), members
+
+
+def detect_all(features: DataFrame, lifts: DataFrame, run_date: str, **detection) -> DataFrame:
+    """The alerts of ``detect_with_members``."""
+    return detect_with_members(features, lifts, run_date, **detection)[0]
 
 
 def run_pipeline(
@@ -58,7 +68,8 @@ def run_pipeline(
     """
     spark = outlets.sparkSession
     features = cut(features)
-    alerts = cut(detect_all(features, lifts, run_date, **detection))
+    alerts, members_of = detect_with_members(features, lifts, run_date, **detection)
+    alerts = cut(alerts)
     gaps = cut(entitlement.supply_gap(features, card_counts))
     distances = cut(geo.nearest_outlet(members, outlets))
     scored = cut(scoring.score_outlets(gaps, al.max_score(alerts)))
@@ -77,6 +88,7 @@ def run_pipeline(
         "outlet_scores": scoring.rank_outlets(scored).drop("breakdown"),
         "region_scores": scoring.score_regions(scored, alerts),
         "kpis": reports.kpis(outlets, members, lifts, alerts, access),
+        **members_of,
     }
     paths = {}
     for name, frame in tables.items():

@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 from granary.operators import forest, graph
+from granary.plans import inputs, jobs
+from granary.sources import fixtures
 from granary.streaming import reports
+from tests.parity import DATA
 
 
 def test_planted_outliers_score_highest(spark):
@@ -64,3 +67,18 @@ def test_flags_are_counted_past_a_hundred(spark, tmp_path):
     )
     out = spark.read.parquet(f"{tmp_path}/out").orderBy("alert_id").collect()
     assert [r.earlier_flags for r in out] == list(range(250))
+
+
+def test_all_members_of_rings_and_clusters_are_given(spark, monkeypatch):
+    d = f"{DATA}/sf0.001"
+    features = inputs.features(spark, d)
+    monkeypatch.setattr(graph, "LISTED", 1)
+    found, members = jobs.detect_with_members(features, fixtures.lifts(spark, d), "2024-06-01")
+    rings = {r.community: set() for r in members["ring_members"].collect()}
+    for r in members["ring_members"].collect():
+        rings[r.community].add(r.vertex)
+    alerts = [r.ring for r in found.where("pattern = 'coordinated_ring'").select("ring").collect()]
+    assert alerts and {a.ring_id: a.n_cards + a.n_outlets for a in alerts} == {k: len(v) for k, v in rings.items()}
+    sizes = {r.cluster: r["count"] for r in members["cluster_members"].groupBy("cluster").count().collect()}
+    shown = {r.group_key: int(r.text.split()[0]) for r in found.where("pattern = 'similar_outlets'").collect()}
+    assert shown == {k: n for k, n in sizes.items() if n >= 5}
