@@ -371,6 +371,21 @@ def retrain_list(series: DataFrame, errors: DataFrame, registry: DataFrame, thre
     )
 
 
+def retrain_list_by_model(series: DataFrame, errors: DataFrame, models: DataFrame, threshold: float = RETRAIN_AT) -> DataFrame:
+    """``retrain_list`` of every model: each series and model (``models``: model) without a fit or with too large an error.
+
+    ``errors``: outlet_id, item, model, mape of the fitted ones.
+    """
+    keys = [*SERIES, "model"]
+    wanted = series.select(*SERIES).distinct().crossJoin(models.select("model").distinct())
+    fitted = errors.select(*keys, "mape", F.lit(True).alias("fitted"))
+    reason = (
+        "case when fitted is null then 'never fitted' "
+        f"when coalesce(mape, 1D) > {threshold}D then 'error too high' end as reason"
+    )
+    return wanted.join(fitted, keys, "left").select(*keys, F.expr(reason)).where("reason is not null")
+
+
 def forecast_run(
     outlets: DataFrame, lifts: DataFrame, items: Sequence[str], months: int = 3, holidays: DataFrame | None = None
 ) -> DataFrame:

@@ -87,6 +87,18 @@ def q_monitor(spark, d):
     return sr.forecast_errors(actuals, tested(spark, d).where("model = 'growth'"))
 
 
+@query(
+    "forecast_error_monitor_by_model",
+    "S9",
+    with_(LIFTS, SERIES, TEST)
+    + """select outlet_id, item, model, round_even(avg(abs((actual - predicted) / actual)) * 1e6, 0) / 1e6 as mape, count(*) as months,
+       avg(abs((actual - predicted) / actual)) > 0.15 as retrain from tested where actual <> 0 group by 1, 2, 3""",
+)
+def q_monitor_models(spark, d):
+    actuals = series(spark, d).select(*fc.SERIES, "month", F.col("quantity").alias("actual"))
+    return sr.forecast_errors(actuals, tested(spark, d), more=("model",))
+
+
 def _event_stream(spark, d):
     """The event table as a file stream of error reports of outlets."""
     schema = fixtures.table(spark, d, "events").schema

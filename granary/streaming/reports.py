@@ -158,15 +158,15 @@ def write_critical(alerts: DataFrame, path: str, checkpoint: str, severities: tu
     return alerts.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
-def forecast_errors(actuals: DataFrame, forecasts: DataFrame, retrain_above: float = 0.15) -> DataFrame:
+def forecast_errors(actuals: DataFrame, forecasts: DataFrame, retrain_above: float = 0.15, more: tuple[str, ...] = ()) -> DataFrame:
     """Running error of the forecasts as actual quantities arrive, with a retrain mark.
 
-    ``actuals``: outlet_id, item, month, actual; ``forecasts``: outlet_id, item, month, predicted.
+    ``actuals``: outlet_id, item, month, actual; ``forecasts``: outlet_id, item, month, predicted, and ``more`` keys.
     """
     return (
         actuals.where("actual <> 0")
-        .join(forecasts.select("outlet_id", "item", "month", "predicted"), ["outlet_id", "item", "month"])
-        .groupBy("outlet_id", "item")
+        .join(forecasts.select("outlet_id", "item", "month", *more, "predicted"), ["outlet_id", "item", "month"])
+        .groupBy("outlet_id", "item", *more)
         .agg(F.expr("avg(abs((actual - predicted) / actual)) as mape"), F.count(F.lit(1)).alias("months"))
         .withColumn("retrain", F.col("mape") > retrain_above)
         .withColumn("mape", half_even("mape", 6))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from granary.operators import forest, graph
+from granary.operators import forecast, forest, graph
 from granary.plans import inputs, jobs
 from granary.sources import fixtures
 from granary.streaming import reports
@@ -82,3 +82,10 @@ def test_all_members_of_rings_and_clusters_are_given(spark, monkeypatch):
     sizes = {r.cluster: r["count"] for r in members["cluster_members"].groupBy("cluster").count().collect()}
     shown = {r.group_key: int(r.text.split()[0]) for r in found.where("pattern = 'similar_outlets'").collect()}
     assert shown == {k: n for k, n in sizes.items() if n >= 5}
+
+
+def test_every_model_is_judged(spark):
+    series = spark.createDataFrame([("1", "a"), ("2", "a")], "outlet_id string, item string")
+    errors = spark.createDataFrame([("1", "a", "x", 0.1), ("1", "a", "y", 0.9), ("2", "a", "x", None)], "outlet_id string, item string, model string, mape double")
+    got = sorted(map(tuple, forecast.retrain_list_by_model(series, errors, errors).collect()))
+    assert got == [("1", "a", "y", "error too high"), ("2", "a", "x", "error too high"), ("2", "a", "y", "never fitted")]
