@@ -118,6 +118,11 @@ def q_zones(spark, d):
     return ge.service_zones(fixtures.outlets(spark, d))
 
 
+@query("service_zones_by_km", "H6")
+def q_zones_by_km(spark, d):
+    return ge.service_zones_by_km(fixtures.outlets(spark, d), cell_km=10.0)
+
+
 USE = """used as (select o.*, coalesce(collection_rate, 0.0::double) as utilisation, coalesce(f.total_cards, 0) as total_cards
    from outlets o left join features f using (outlet_id))"""
 
