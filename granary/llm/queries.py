@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, html_text, language, lines, minhash, pieces, quality, substring, token_store, vectors
+from granary.llm import (
+    decontaminate, html_text, language, lines, merkle, minhash, pieces, quality, secret_scan, substring, token_store, vectors, whitening,
+)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +71,40 @@ def op10_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_table(spark, sf_dir, "documents"), whole=True)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    rows = found.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "x"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.expr("try_cast(deviation as bigint)").alias("deviation"),
+        F.col("x.whitened").alias("whitened"), F.col("x.explained").alias("explained"), "identity_error",
+    )
+
+
+MANIFEST = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = merkle.leaf_hash([*map(F.col, MANIFEST[:-1]), F.translate("text", UPPER, LOWER)])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, changed)
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), MANIFEST, carry={"tampered": tampered})
+    rows = found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    base = F.filter("spans", lambda x: x["kind"].isin(*secret_scan.BASE))
+    return found.select(
+        "doc_id", *(secret_scan.number(F.col("spans"), k).alias(f"n_{k}") for k in secret_scan.BASE),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"),
+        secret_scan.number(F.col("spans"), "random").alias("n_random"),
+    )
+
+
 SUBSTRING_SQL = rf"""
 with words as (
     select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents
@@ -178,6 +215,59 @@ with recursive v as (
 select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from least left join counts using (vec_id)
 """
 
+
+def manifest_sql(levels: int = 9) -> str:
+    """Trees of up to 8^levels leaves, one CTE per level; crc32 bit by bit."""
+
+    def tree(name: str, source: str) -> str:
+        """``source``: (tree, name, node), ordered by ``name`` in each tree. Gives {name}_top and {name}_proofs."""
+        parts = [
+            f"{name}_0 as (select *, row_number() over (partition by tree order by {source}_order) - 1 as i, "
+            f"count(*) over (partition by tree) as n from {source})"
+        ]
+        for k in range(1, levels + 1):
+            parts.append(
+                f"{name}_{k} as (select tree, i // 8 as i, any_value(n) as n, list(node order by i) as kids, "
+                f"case when any_value(n) > {8 ** (k - 1)} then sha256(string_agg(node, '' order by i)) else any_value(node) end as node "
+                f"from {name}_{k - 1} group by tree, i // 8)"
+            )
+        joins = " ".join(f"join {name}_{k} on {name}_{k}.tree is not distinct from l.tree and {name}_{k}.i = l.i // {8**k}" for k in range(1, levels + 1))
+        pairs = ", ".join(
+            f"struct_pack(deep := {name}_{k}.n > {8 ** (k - 1)}, kids := {name}_{k}.kids, at := (l.i // {8 ** (k - 1)}) % 8)" for k in range(1, levels + 1)
+        )
+        parts.append(f"{name}_proofs as (select l.*, {name}_{levels}.node as top, list_filter([{pairs}], lambda x: x.deep) as path from {name}_0 l {joins})")
+        return ",\n".join(parts)
+
+    def proof(path: str) -> str:
+        return f"array_to_string(list_transform({path}, lambda x: array_to_string(x.kids[:x.at], '') || array_to_string(x.kids[x.at + 2:], '')), '')"
+
+    def fold(leaf: str, path: str) -> str:
+        steps = f"list_transform({path}, lambda x: [array_to_string(x.kids[:x.at], ''), array_to_string(x.kids[x.at + 2:], '')])"
+        return f"list_reduce({steps}, lambda a, x: [sha256(x[1] || a[1] || x[2])], [{leaf}])[1]"
+
+    def field(c: str) -> str:
+        return f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}, '-')"
+
+    first = " || ".join(field(c) for c in MANIFEST[:-1])
+    bits = "flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce({bits}, lambda a, b: case when b >= 0 then xor(a, b) else xor(a >> 1, 3988292384 * (a & 1)) end, 4294967295::bigint), 4294967295)"
+    return f"""
+with leaves as (
+    select doc_id, lang as tree, sha256({first} || {field('text')}) as node,
+        case when {crc} % 3 = 0 then sha256({first} || {field(f"translate(text, '{UPPER}', '{LOWER}')")}) end as tampered
+    from documents
+), ordered as (select *, struct_pack(a := coalesce(doc_id, -9223372036854775808), b := node) as ordered_order from leaves),
+{tree("low", "ordered")},
+tops as (select 0 as tree, lang, node, coalesce('=' || lang, '') as tops_order from (select distinct tree as lang, top as node from low_proofs)),
+{tree("high", "tops")},
+joined as (
+    select d.doc_id, d.node as leaf, coalesce(d.tampered, d.node) as shown, d.top as subroot, u.top as root, list_concat(d.path, u.path) as path
+    from low_proofs d join high_proofs u on u.lang is not distinct from d.tree
+), folded as (select *, {fold("shown", "path")} as folded_root from joined)
+select doc_id, leaf, subroot, root, sha256({proof("path")}) as proof_sha256, folded_root, folded_root = root as verified from folded
+"""
+
+
 QUERIES: dict[str, Plan] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -190,6 +280,9 @@ QUERIES: dict[str, Plan] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
     "op10_line_dedup_whole": op10_line_dedup_whole,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -198,4 +291,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_embedding_dedup": VECTOR_SQL,
     "op10_line_dedup": LINES_SQL,
     "op10_line_dedup_whole": LINES_WHOLE_SQL,
+    "op12_merkle_manifest": manifest_sql(),
 }
