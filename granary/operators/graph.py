@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.columns import bands_left_closed, half_even, percent_text
+from granary.operators import modularity
 from granary.session import cut
 
 MIN_RING = 3
@@ -33,11 +34,12 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.concat(F.lit("c:"), "card_id").alias("a"), F.concat(F.lit("s:"), "outlet_id").alias("b"), "weight")
 
 
-def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(pairs: DataFrame) -> DataFrame:
     """Smallest vertex of the component for every vertex of the edges (a, b).
 
     Alternates two steps: link the larger neighbours of a vertex to its smallest neighbour, then link
-    the smaller ones. Edges shrink to stars in a number of rounds logarithmic in the graph size.
+    the smaller ones. Edges shrink to stars in a number of rounds logarithmic in the graph size; the two steps
+    change nothing only when all components are stars.
     """
     edges = cut(pairs.select("a", "b").where("a <> b").distinct())
 
@@ -56,15 +58,13 @@ def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         return rest.unionByName(least.select("a", F.col("m").alias("b")))
 
     before = checksum(edges)
-    for _ in range(max_rounds):
+    while True:
         # Both steps drop duplicates and self-links on the way.
         edges = cut(small_star(large_star(edges).where("a <> b").distinct()).where("a <> b").distinct())
         after = checksum(edges)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()
     return stars.unionByName(roots)
@@ -74,11 +74,17 @@ def graph_components(edges: DataFrame) -> DataFrame:
     return connected_components(_ends(edges)).withColumnRenamed("component", "community")
 
 
-def label_communities(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def graph_communities(edges: DataFrame, passes: int = 1) -> DataFrame:
+    """Communities of high modularity among cards and outlets."""
+    return modularity.communities(_ends(edges), passes)
+
+
+def label_communities(edges: DataFrame) -> DataFrame:
     """Communities by weighted label propagation.
 
     Outlets and cards vote in turn, which avoids the flip-flop of bipartite graphs. The label with
-    most weight wins, the smallest label on ties.
+    most weight wins, the smallest label on ties. That cannot go in circles: a vote never lowers the weight of the
+    edges whose ends agree, and where it leaves it as it is, labels only become smaller.
     """
     ends = cut(_ends(edges))
 
@@ -93,15 +99,13 @@ def label_communities(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         )
 
     cards = cut(ends.select(F.col("a").alias("vertex"), F.col("a").alias("label")).distinct())
-    for _ in range(max_rounds):
+    while True:
         outlets = cut(vote(cards, "a", "b"))
         fresh = cut(vote(outlets, "b", "a"))
         changed = fresh.join(cards.withColumnRenamed("label", "old"), "vertex").where("label <> old").limit(1).count()
         cards = fresh
         if not changed:
             break
-    else:
-        raise RuntimeError(f"communities did not settle in {max_rounds} rounds")
     return cards.unionByName(outlets).withColumnRenamed("label", "community")
 
 

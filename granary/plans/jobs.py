@@ -35,7 +35,7 @@ def detect_with_members(
     groups = cut(density.cluster(standard_scale(features, CLUSTER_COLUMNS), "outlet_id", CLUSTER_COLUMNS))
     parts.append(density.cluster_findings(groups, features))
     edges = cut(graph.card_outlet_edges(lifts, min_edge_weight))
-    communities = cut(graph.label_communities(edges))
+    communities = cut(graph.graph_communities(edges))
     rings = cut(graph.ring_scores(edges, communities))
     parts.append(graph.ring_alerts(rings, communities))
     members = {

@@ -40,6 +40,9 @@ LINKS = """links as (select 'c:' || card_id as a, 's:' || outlet_id as b, weight
 ROUNDS = 40
 COMPONENTS = spread_labels("lab", "links", ROUNDS)
 GRAPH_CTES = (EVENTS, PURCHASES, LINKS, COMPONENTS)
+#: Pairs that meet often: enough of them to split the graph of events into many components.
+STRONG = 4
+STRONG_CTES = (EVENTS, f"{PURCHASES[:-1]} having count(*) >= {STRONG})", LINKS, COMPONENTS)
 
 
 @remembered
@@ -93,8 +96,18 @@ def q_graph_summary(spark, d):
     return gr.graph_summary(edges(spark, d), components(spark, d))
 
 
+@remembered
+def communities(spark, d):
+    return inputs.keep(gr.graph_communities(edges(spark, d)))
+
+
 @query("graph_communities", "D23")
 def q_communities(spark, d):
+    return communities(spark, d)
+
+
+@query("label_communities", "D23")
+def q_label_communities(spark, d):
     return gr.label_communities(edges(spark, d))
 
 
@@ -150,9 +163,19 @@ rings as (select l as community, n_cards, n_outlets, n_edges, total, multi_cards
   from kinds join multi using (l) join sums using (l) join hubs using (l))"""
 
 
+@remembered
+def strong_components(spark, d):
+    return inputs.keep(gr.graph_components(edges(spark, d).where(F.col("weight") >= STRONG)))
+
+
+@remembered
+def component_rings(spark, d):
+    return inputs.keep(gr.ring_scores(edges(spark, d).where(F.col("weight") >= STRONG), strong_components(spark, d)))
+
+
 @remembered
 def rings(spark, d):
-    return inputs.keep(gr.ring_scores(edges(spark, d), components(spark, d)))
+    return inputs.keep(gr.ring_scores(edges(spark, d), communities(spark, d)))
 
 
 RING_COLUMNS = ["community", "n_cards", "n_outlets", "n_edges", "total", "multi_share", "unverified_share", "density", "mean_weight"]
@@ -164,27 +187,55 @@ RING_SCORE = r(
 
 
 @query(
-    "ring_scores",
+    "component_ring_scores",
     "D24 D25",
-    with_(*GRAPH_CTES, RANKS, RINGS) + f"select {', '.join(RING_COLUMNS)}, hub_score, {RING_SCORE} as score from rings",
+    with_(*STRONG_CTES, RANKS, RINGS) + f"select {', '.join(RING_COLUMNS)}, hub_score, {RING_SCORE} as score from rings",
     doubles=["multi_share", "unverified_share", "density", "mean_weight", "hub_score"],
     digits=7,
 )
+def q_component_rings(spark, d):
+    """Rings of the components of strong edges, the form that SQL can follow."""
+    return component_rings(spark, d).select(*RING_COLUMNS, "hub_score", "score")
+
+
+@query("ring_scores", "D24 D25")
 def q_rings(spark, d):
     return rings(spark, d).select(*RING_COLUMNS, "hub_score", "score")
 
 
+ALERT_COLUMNS = [
+    "group_key", "outlet_id", "pattern", "score", "severity", "text", "action", "ring.cards", "ring.outlets", "ring.n_cards", "ring.n_outlets",
+    "ring.total", "ring.hub_type", "ring.hub_id",
+]
+
+
+def _listed_sql(kind: str) -> str:
+    return f"list(substr(v, 3) order by v) filter (v like '{kind}:%')"
+
+
 @query(
-    "ring_alerts",
+    "component_ring_alerts",
     "D26",
-    with_(*GRAPH_CTES, RANKS, RINGS)
-    + f""", lst as (select l as community, min(substr(v, 3)) filter (v like 's:%') as outlet_id from part group by 1)
-      select community as group_key, outlet_id, 'coordinated_ring' as pattern, score,
-        case when score >= 0.8 then 'Critical' when score >= 0.65 then 'High' else 'Medium' end as severity
-      from (select *, {RING_SCORE} as score from rings) join lst using (community)""",
+    with_(*STRONG_CTES, RANKS, RINGS)
+    + f""", lst as (select l as community, {_listed_sql('c')}[:20] as cards, {_listed_sql('s')}[:20] as outlets, count(*) filter (v like 'c:%') as n_cards,
+        count(*) filter (v like 's:%') as n_outlets from part group by 1),
+      scored as (select *, {RING_SCORE} as score from (select * exclude (n_cards, n_outlets) from rings) join lst using (community))
+      select community as group_key, outlets[1] as outlet_id, 'coordinated_ring' as pattern, score,
+        case when score >= 0.8 then 'Critical' when score >= 0.65 then 'High' else 'Medium' end as severity,
+        'Ring of cards and outlets: ' || concat_ws('; ', case when multi_share > 0.3 then round(multi_share * n_cards)::bigint || ' cards use several outlets' end,
+          case when unverified_share > 0.2 then round_even(unverified_share * 100, 0)::bigint || '% of lifts are unverified' end,
+          case when density > 0.5 then 'nearly every card meets every outlet' end, 'hub ' || hub) as text,
+        'Audit the outlets and hold the cards' as action, cards, outlets, n_cards, n_outlets, total,
+        case when hub like 'c:%' then 'card' else 'outlet' end as hub_type, substr(hub, 3) as hub_id
+      from scored""",
 )
+def q_component_ring_alerts(spark, d):
+    return gr.ring_alerts(component_rings(spark, d), strong_components(spark, d)).select(*ALERT_COLUMNS)
+
+
+@query("ring_alerts", "D26")
 def q_ring_alerts(spark, d):
-    return gr.ring_alerts(rings(spark, d), components(spark, d)).select("group_key", "outlet_id", "pattern", "score", "severity")
+    return gr.ring_alerts(rings(spark, d), communities(spark, d)).select(*ALERT_COLUMNS)
 
 
 CLUSTER_COLUMNS = ["staple_per_card", "collection_rate", "fuel_per_card"]
@@ -281,7 +332,7 @@ def all_alerts(spark, d):
                 ru.apply_rules(scored, **RULE_SETTINGS),
                 fo.findings(forest_scores(spark, d), ceiling=inputs.CEILING),
                 de.cluster_findings(clusters(spark, d), inputs.features(spark, d), min_points=MIN_POINTS),
-                gr.ring_alerts(rings(spark, d), components(spark, d)),
+                gr.ring_alerts(rings(spark, d), communities(spark, d)),
             ],
             RUN_DATE,
         )
