@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import minhash
-from granary.llm.store import stored, unused
+from granary.llm.store import Scratch, stored, unused
 
 #: Registers 2^12: standard error 1.04 / 64; four errors on each side are counted exactly.
 LOG_REGISTERS = 12
@@ -60,10 +60,13 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
 
 
 def originals(docs: DataFrame, text_col: str, id_col: str, site_col: str) -> DataFrame:
-    """Text and site of one document of each group of near-duplicate texts."""
-    dropped = minhash.near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    """Text and site of one document of each group of near-duplicate texts. Only the ids of the others are stored."""
+    scratch = Scratch(docs.sparkSession)
+    near = minhash.near_duplicates(docs, id_col, text_col, scratch=scratch)
+    dropped = stored(near.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "dropped")
+    scratch.drop()
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_col, site_col)
-    return stored(own.join(dropped, "id", "left_anti").select(text_col, site_col), "originals")
+    return own.join(dropped, "id", "left_anti").select(text_col, site_col)
 
 
 def _marked(

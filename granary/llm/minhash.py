@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.store import stored
+from granary.llm.store import Scratch
 from granary.llm.text import LOWER, Texts, Words, gram_hashes, mix, pieces
 from granary.operators.graph import connected_components
 
@@ -296,9 +296,15 @@ def _links_across(classes: DataFrame, components: DataFrame, texts: DataFrame, s
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, scratch: Scratch | None = None
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links), kept (it is that id)."""
+    """doc_id, n_shingles, component_id (smallest id reachable by links), kept (it is that id).
+
+    Tables of finished steps are deleted on the way. The result reads the last ones; who has stored what he needs
+    of it may drop the ``scratch``.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    stored = scratch.stored
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     threshold = percent / 100
     signs = stored(
@@ -316,7 +322,7 @@ def near_duplicates(
     stars = bands.join(hubs, ["band", "value"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     stars = stored(stars.distinct(), "stars")
     # Only classes that share a band with another are ever compared again.
-    shared = stars.select(F.col("a").alias("doc")).unionByName(stars.select(F.col("b").alias("doc"))).distinct()
+    shared = stored(stars.select(F.col("a").alias("doc")).unionByName(stars.select(F.col("b").alias("doc"))).distinct(), "shared")
     texts = stored(
         base.withColumnRenamed("doc_id", "doc").join(shared, "doc", "left_semi").select("doc", "text"), "candidates"
     )
@@ -324,11 +330,15 @@ def near_duplicates(
     one = close.select(F.col("rep").alias("a"), "n", "sketch")
     two = close.select(F.col("rep").alias("b"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
     likely = stars.join(one, "a").join(two, "b").mapInArrow(_plausible(threshold), "a long, b long").distinct()
-    links = stored(confirmed(stored(likely, "likely"), texts, words, percent), "links")
+    likely = stored(likely, "likely")
+    scratch.drop("stars")
+    links = stored(confirmed(likely, texts, words, percent), "links")
+    scratch.drop("likely")
     components = connected_components(links)
     more = stored(_links_across(close, components, texts, words, percent), "links")
     if not more.isEmpty():
         components = connected_components(links.unionByName(more))
+    scratch.drop("links", "candidates", "shared")
     found = classes.select("high", "low", "rep").join(components, F.col("rep") == F.col("vertex"), "left")
     found = found.select("high", "low", F.coalesce("component", "rep").alias("component"))
     # Equal ids with different texts are one document: the smallest component that any of its rows has.

@@ -81,6 +81,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.plain = Tokenizer.from_file(path)
+        #: Strings that the library gives an id of their own; a text with one of them is not cut into chunks.
+        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -121,10 +124,15 @@ class Encoder:
         return size, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(size.sum()))
 
     def documents(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        ids, counts = document_ids(self.table, texts, cut)
+        whole = {i: t for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
+        ids, counts = document_ids(self.table, [None if i in whole else t for i, t in enumerate(texts)], cut)
         bounds = np.append(0, np.cumsum(counts)).tolist()
         end = np.array([end_id], dtype=np.int32)
-        return [np.concatenate([ids[a:b], end]) for a, b in zip(bounds, bounds[1:])]
+        out = [np.concatenate([ids[a:b], end]) for a, b in zip(bounds, bounds[1:])]
+        for i, text in whole.items():
+            own = self.plain.encode(text, add_special_tokens=False).ids
+            out[i] = np.concatenate([np.array(own, dtype=np.int32), end])
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

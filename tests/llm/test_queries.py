@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from granary.llm import decontaminate, queries
+from granary.llm import decontaminate, queries, token_store
 from tests.parity import DATA, connect, duck_rows
 
 SF = f"{DATA}/sf0.001"
@@ -59,7 +59,6 @@ def test_token_files_against_the_library(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     want, start = [], 0
     for doc, text in sorted(texts(spark).items()):
         ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
@@ -69,6 +68,16 @@ def test_token_files_against_the_library(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def test_strings_of_special_tokens_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>\n\n b <| endoftext |>", "<|endoftext|", None, "", "plain words"]
+    got = token_store.encoder(path).documents(texts, 2)
+    assert [g.tolist() for g in got] == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_pieces_round_trip(spark):
     got = queries.op3_sentencepiece(spark, SF)
     assert got.count() == got.where("round_trip and n_tokens > 0").count() == len(texts(spark))
