@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from granary.llm import decontaminate, language, lines, minhash, pieces
 from granary.llm.queries import vocabulary
 from granary.llm.samples import fold
-from granary.llm.store import stored, unused
+from granary.llm.store import Scratch, stored, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,9 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id."""
-    dropped = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    scratch = Scratch(spark)
+    dropped = stored(minhash.near_duplicates(docs, scratch=scratch).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    scratch.drop()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
