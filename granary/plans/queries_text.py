@@ -78,6 +78,11 @@ def index(spark, d):
     return inputs.keep(rt.weights(doc_terms(spark, d), vocab(spark, d), "doc_id"))
 
 
+@remembered
+def blocks(spark, d):
+    return inputs.keep(rt.block_index(index(spark, d)))
+
+
 def questions(spark, d):
     return fixtures.table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text")
 
@@ -109,7 +114,7 @@ def q_weights(spark, d):
     + "select question_id, rank, doc_id, source, similarity from answers join documents using (doc_id)",
 )
 def q_retrieve(spark, d):
-    return rt.retrieve(documents(spark, d), index(spark, d), vocab(spark, d), questions(spark, d), stop_words=STOP_WORDS)
+    return rt.retrieve(documents(spark, d), index(spark, d), vocab(spark, d), questions(spark, d), stop_words=STOP_WORDS, blocks=blocks(spark, d))
 
 
 @query(
@@ -120,7 +125,8 @@ def q_retrieve(spark, d):
 )
 def q_retrieve_sources(spark, d):
     return rt.retrieve(
-        documents(spark, d), index(spark, d), vocab(spark, d), questions(spark, d), sources=["src1", "src7"], stop_words=STOP_WORDS
+        documents(spark, d), index(spark, d), vocab(spark, d), questions(spark, d), sources=["src1", "src7"], stop_words=STOP_WORDS,
+        blocks=blocks(spark, d),
     )
 
 
