@@ -350,34 +350,13 @@ def backtest(series: DataFrame, horizon: int = 2, keys: Sequence[str] = SERIES)
     return held.join(models, [*keys, "month_offset"]).select(*keys, "month", "month_offset", "model", "actual", "predicted")
 
 
-def retrain_list(series: DataFrame, errors: DataFrame, registry: DataFrame, threshold: float = RETRAIN_AT) -> DataFrame:
-    """Series to fit again: never fitted, or error above the threshold.
-
-    ``registry``: outlet_id, item of fitted models; ``errors``: outlet_id, item, mape.
-    """
-    keys = series.select(*SERIES).distinct()
-    fitted = registry.select(*SERIES).distinct().withColumn("fitted", F.lit(True))
-    return (
-        keys.join(fitted, SERIES, "left")
-        .join(errors.select(*SERIES, "mape"), SERIES, "left")
-        .select(
-            *SERIES,
-            F.expr(
-                "case when fitted is null then 'never fitted' "
-                f"when coalesce(mape, 1D) > {threshold}D then 'error too high' end as reason"
-            ),
-        )
-        .where("reason is not null")
-    )
-
-
-def retrain_list_by_model(series: DataFrame, errors: DataFrame, models: DataFrame, threshold: float = RETRAIN_AT) -> DataFrame:
-    """``retrain_list`` of every model: each series and model (``models``: model) without a fit or with too large an error.
+def retrain_list(series: DataFrame, errors: DataFrame, models: Sequence[str], threshold: float = RETRAIN_AT) -> DataFrame:
+    """Series and models to fit again: never fitted, or error above the threshold.
 
     ``errors``: outlet_id, item, model, mape of the fitted ones.
     """
     keys = [*SERIES, "model"]
-    wanted = series.select(*SERIES).distinct().crossJoin(models.select("model").distinct())
+    wanted = series.select(*SERIES).distinct().withColumn("model", F.explode(F.array(*map(F.lit, models))))
     fitted = errors.select(*keys, "mape", F.lit(True).alias("fitted"))
     reason = (
         "case when fitted is null then 'never fitted' "

@@ -102,10 +102,10 @@ def top_patterns_per_region(alerts_with_region: DataFrame, n: int = 3) -> DataFr
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
-def severe_alerts(alerts: DataFrame, n: int = 50) -> DataFrame:
-    return (
-        alerts.where(F.col("severity").isin("Critical", "High")).orderBy(F.col("score").desc(), "alert_id").limit(n)
-    )
+def severe_alerts(alerts: DataFrame, n: int | None = 50) -> DataFrame:
+    """Critical and high alerts, the ``n`` with the highest score or all."""
+    severe = alerts.where(F.col("severity").isin("Critical", "High"))
+    return severe if n is None else severe.orderBy(F.col("score").desc(), "alert_id").limit(n)
 
 
 def stratified_head(outlets: DataFrame, cap: int) -> DataFrame:

@@ -233,29 +233,13 @@ def q_weights(spark, d):
     "forecast_retrain_list",
     "P13",
     with_(LIFTS, SERIES, TEST, ERR)
-    + """, k as (select distinct outlet_id, item from series),
-      e as (select * from errs where model = 'smoothing')
-      select k.outlet_id, k.item, case when e.outlet_id is null then 'never fitted' else 'error too high' end as reason
-      from k left join e using (outlet_id, item) where e.outlet_id is null or coalesce(e.mape, 1) > 0.15""",
-)
-def q_retrain(spark, d):
-    """Series with a backtest count as fitted."""
-    errors = fc.mape(tested(spark, d).where("model = 'smoothing'"), fc.SERIES)
-    return fc.retrain_list(series(spark, d), errors, errors)
-
-
-@query(
-    "forecast_retrain_list_by_model",
-    "P13",
-    with_(LIFTS, SERIES, TEST, ERR)
     + """, k as (select * from (select distinct outlet_id, item from series), (values ('smoothing'), ('growth')) m(model))
       select k.outlet_id, k.item, k.model, case when e.outlet_id is null then 'never fitted' else 'error too high' end as reason
       from k left join errs e using (outlet_id, item, model) where e.outlet_id is null or coalesce(e.mape, 1) > 0.15""",
 )
-def q_retrain_models(spark, d):
+def q_retrain(spark, d):
     """Every series and model; those with a backtest count as fitted."""
-    models = spark.createDataFrame([("smoothing",), ("growth",)], "model string")
-    return fc.retrain_list_by_model(series(spark, d), fc.mape(tested(spark, d), [*fc.SERIES, "model"]), models)
+    return fc.retrain_list(series(spark, d), fc.mape(tested(spark, d), [*fc.SERIES, "model"]), ["smoothing", "growth"])
 
 
 @query("seasonal_forecast", "P8")

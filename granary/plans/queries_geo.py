@@ -97,32 +97,45 @@ def q_sites(spark, d):
     return ge.new_sites(ge.access_gaps(distances(spark, d), REACH), n=5, restarts=3)
 
 
+def _clip_sql(corners: str, planes: str) -> str:
+    """A polygon [[x, y], ...] cut by half-planes [[a, b, c]]: a * x + b * y <= c."""
+    p, q = "g[i]", "g[i % len(g) + 1]"
+    s, t = (f"(h[1][1] * {v}[1] + h[1][2] * {v}[2] - h[1][3])" for v in (p, q))
+    cross = "[" + ", ".join(f"{p}[{k}] + ({q}[{k}] - {p}[{k}]) * ({s} / ({s} - {t}))" for k in (1, 2)) + "]"
+    edge = f"case when {s} <= 0 and {t} <= 0 then [{p}] when {s} <= 0 then [{p}, {cross}] when {t} <= 0 then [{cross}] else []::double[][] end"
+    return f"list_reduce({planes}, lambda g, h: flatten(list_transform(range(1, len(g) + 1), lambda i: {edge})), {corners})"
+
+
+def _area_sql(g: str) -> str:
+    cross = f"({g}[i][1] - lon) * ({g}[i % len({g}) + 1][2] - lat) - ({g}[i % len({g}) + 1][1] - lon) * ({g}[i][2] - lat)"
+    return f"abs(list_sum(list_transform(range(1, len({g}) + 1), lambda i: {cross}))) * (111.0::double * 105.0::double / 2)"
+
+
 ZONES = f"""pts as (select latitude as lat, longitude as lon, min(outlet_id) as target from outlets where is_active group by 1, 2),
-box as (select min(lat) as a0, max(lat) as a1, min(lon) as o0, max(lon) as o1, cast(ceil(4 * sqrt(count(*))) as bigint) as side from pts),
-cells as (select i.i, j.j, side, (a1 - a0) / side as dlat, (o1 - o0) / side as dlon,
-   a0 + (i.i + 0.5::double) * ((a1 - a0) / side) as qlat, o0 + (j.j + 0.5::double) * ((o1 - o0) / side) as qlon
-  from box, range(0, 2000) i(i), range(0, 2000) j(j) where i.i < side and j.j < side),
-owned as (select i, j, any_value(side) as side, any_value(dlat) as dlat, any_value(dlon) as dlon,
-   arg_min(target, {_km("qlat", "qlon", "lat", "lon")}) as target from cells, pts group by 1, 2)"""
+box as (select min(lat) as a0, max(lat) as a1, min(lon) as o0, max(lon) as o1, 1000 * greatest(max(lat) - min(lat), 1e-9::double) as da,
+   1000 * greatest(max(lon) - min(lon), 1e-9::double) as dob from pts),
+shapes as (select p.target, any_value(p.lat) as lat, any_value(p.lon) as lon,
+   list([[q.lon - p.lon, q.lat - p.lat, ((q.lon - p.lon) * (q.lon + p.lon) + (q.lat - p.lat) * (q.lat + p.lat)) / 2]] order by q.target) as planes
+  from pts p join pts q on p.target <> q.target group by 1),
+zones as (select target, lat, lon, a0, a1, o0, o1, da, dob,
+   {_clip_sql("[[o0 - dob, a0 - da], [o1 + dob, a0 - da], [o1 + dob, a1 + da], [o0 - dob, a1 + da]]", "planes")} as g from shapes, box),
+inner_zones as (select *, {_clip_sql("g", "[[[1.0::double, 0.0, o1]], [[-1.0::double, 0.0, -o0]], [[0.0::double, 1.0, a1]], [[0.0::double, -1.0, -a0]]]")} as inside,
+   len(list_filter(g, lambda v: abs(v[1] - o0) > 0.999 * dob or abs(v[2] - a0) > 0.999 * da)) > 0 as open from zones)"""
 
 
 @query(
     "service_zones",
     "H6",
     with_(OUTLETS, ZONES)
-    + f"""select target as outlet_id, count(*) as cells, bool_or(i in (0, side - 1) or j in (0, side - 1)) as open,
-       case when not bool_or(i in (0, side - 1) or j in (0, side - 1))
-         then {r("count(*) * any_value(dlat * 111.0::double * dlon * 105.0::double)", 2)} end as area_km2 from owned group by 1""",
+    + f"""select o.outlet_id, coalesce(len(g), 0)::integer as corners, coalesce(open, false) as open,
+       case when target is null then 0.0::double when not open then {r(_area_sql("g"), 2)} end as area_km2,
+       coalesce({r(_area_sql("inside"), 2)}, 0.0::double) as clipped_km2
+      from (select distinct outlet_id from outlets where is_active) o left join inner_zones on target = o.outlet_id""",
 )
 def q_zones(spark, d):
     return ge.service_zones(fixtures.outlets(spark, d))
 
 
-@query("service_zones_by_km", "H6")
-def q_zones_by_km(spark, d):
-    return ge.service_zones_by_km(fixtures.outlets(spark, d), cell_km=10.0)
-
-
 USE = """used as (select o.*, coalesce(collection_rate, 0.0::double) as utilisation, coalesce(f.total_cards, 0) as total_cards
    from outlets o left join features f using (outlet_id))"""
 

@@ -208,7 +208,7 @@ def q_network_chunks(spark, d):
     + """, reg as (select shown_region, count(*) as n from shown where shown_region <> 'Unknown' group by 1),
       pat as (select shown_region, pattern, count(*) as n, row_number() over (partition by shown_region order by count(*) desc, pattern) as p
         from shown where shown_region <> 'Unknown' group by 1, 2),
-      three as (select shown_region, string_agg(pattern || ': ' || n, ', ' order by p) as patterns from pat where p <= 3 group by 1)
+      three as (select shown_region, string_agg(pattern || ': ' || n, ', ' order by p) as patterns from pat group by 1)
      select 'alert_summary' as doc_id, 'Alert summary: ' || count(*) || ' alerts, ' || count(*) filter (severity = 'Critical') || ' critical, '
        || count(*) filter (severity = 'High') || ' high, ' || count(*) filter (severity = 'Medium') || ' medium, '
        || count(*) filter (severity = 'Low') || ' low, ' || count(*) filter (model = 'rings') || ' rings.' as text, 'alert_summary' as source from alerts
@@ -219,10 +219,10 @@ def q_network_chunks(spark, d):
      union all select 'alerts_by_pattern', 'Alerts by pattern: ' || string_agg(pattern || ': ' || n, '; ' order by n desc, pattern) || '.', 'alerts_by_pattern'
        from (select pattern, count(*) as n from shown group by 1)
      union all select 'alert_' || alert_id, 'Alert (' || severity || '): outlet ' || outlet_id || ' in ' || region || ', pattern ' || pattern || '.', 'alerts'
-       from (select * from alerts where severity in ('Critical', 'High') order by score desc, alert_id limit 50)""",
+       from (select * from alerts where severity in ('Critical', 'High'))""",
 )
 def q_alert_chunks(spark, d):
     found = rule_and_statistical_alerts(spark, d)
     return rt.alert_chunks(
-        al.alert_summary(found, inputs.features(spark, d)), shown(spark, d), rp.severe_alerts(found)
+        al.alert_summary(found, inputs.features(spark, d)), shown(spark, d), rp.severe_alerts(found, None)
     )

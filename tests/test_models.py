@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.operators import forecast, forest, geo, graph
+from granary.operators import forecast, forest, graph
 from granary.plans import inputs, jobs
 from granary.sources import fixtures
 from granary.streaming import reports
@@ -88,15 +88,5 @@ def test_all_members_of_rings_and_clusters_are_given(spark, monkeypatch):
 def test_every_model_is_judged(spark):
     series = spark.createDataFrame([("1", "a"), ("2", "a")], "outlet_id string, item string")
     errors = spark.createDataFrame([("1", "a", "x", 0.1), ("1", "a", "y", 0.9), ("2", "a", "x", None)], "outlet_id string, item string, model string, mape double")
-    got = sorted(map(tuple, forecast.retrain_list_by_model(series, errors, errors).collect()))
+    got = sorted(map(tuple, forecast.retrain_list(series, errors, ["x", "y"]).collect()))
     assert got == [("1", "a", "y", "error too high"), ("2", "a", "x", "error too high"), ("2", "a", "y", "never fitted")]
-
-
-def test_zones_of_a_dense_town_and_far_outlets(spark):
-    town = [(f"t{i}{j}", True, 17.0 + i * 0.01, 78.0 + j * 0.01) for i in range(4) for j in range(4)]
-    far = [(f"f{i}", True, 17.0 + a, 78.0 + b) for i, (a, b) in enumerate([(-2.0, -2.0), (2.0, 2.0), (-2.0, 2.0), (2.0, -2.0)])]
-    table = spark.createDataFrame([*town, *far], "outlet_id string, is_active boolean, latitude double, longitude double").withColumn("region", F.lit("r"))
-    got = {r.outlet_id: r for r in geo.service_zones_by_km(table, 20.0).collect()}
-    assert set(got) == {t[0] for t in [*town, *far]} and all(r.cells > 0 for r in got.values())
-    assert got["t11"].area_km2 < 5 and got["f0"].open
-    assert len(geo.service_zones(table).collect()) < len(got)
