@@ -2,11 +2,12 @@
 
 A page becomes a tree of elements. Elements that are never article text (navigation, page headers and footers,
 asides, forms, scripts, hidden ones; by role, id or class also menus, sidebars, notices, adverts, sharing,
-reader comments) are cut off, unless they enclose an article. Every element then has a density: its characters
-per tag, adjusted by the share of link characters and link tags against that of the body. The element
-with the largest sum of its children's densities, inside an ``article`` or ``main`` if there is one with text, is the core. The smallest density on the path from the body to
-the core is the threshold; an ``article`` or ``main`` around the core is taken whole, else the core and all
-elements beside the path that reach the threshold.
+reader comments, each with all inside it, articles too) are cut off. A name counts if it has a word for such a part and
+else only words of layout: ``related-posts`` is one, ``related-work`` is not. Every element then has a density: its characters
+per tag, adjusted by the share of link characters and link tags against that of the body. The element of the whole body
+with the largest sum of its children's densities is the core, the first of equal ones. The smallest density on the path
+from the body to the core is the threshold: the core is taken with all elements beside the path that reach it. If
+the core lies in an ``article`` or ``main``, it is widened to the nearest of them instead.
 
 Text is decoded, white space inside a block becomes one space, blocks stand in page order, one per line.
 A line break ends a block. Null, empty and textless pages give an empty text. Broken markup is read as far as it makes
@@ -61,12 +62,20 @@ NAMES = set(
         "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
         "notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead comment comments "
         "commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe signup login popup modal overlay "
-        "widget widgets pagination pager toolbar skip discussion feedback responses rail topbar crumbs adbox adslot adunit copyright disclaimer paywall"
+        "widget widgets pagination pager toolbar skip discussion feedback responses rail topbar crumbs adbox adslot adunit copyright disclaimer paywall "
+        "teaser teasers"
+    )
+)
+#: Words of layout that may stand beside one of those.
+PLAIN = set(
+    _WORDS(
+        "area article articles bar block body bottom box buttons col column container content entry form global google group header inner item items left "
+        "link links list main message outer page post posts primary right secondary section sections site slot stories story text thread title top unit wp wrap wrapper"
     )
 )
 #: A class or id made of these words only, "header" among them, is the header of the page.
 HEADER_WORDS = {"", "header", "site", "page", "main", "global", "top"}
-KEEP = {"article", "main", "body", "html"}
+KEEP = {"main", "body", "html"}
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -144,11 +153,12 @@ class Page:
             if name == "role" and value.strip() in ROLES:
                 return True
             if name in ("class", "id"):
-                words = set(_SPLIT.split(value))
-                if not NAMES.isdisjoint(words):
-                    return True
-                if "header" in words and words <= HEADER_WORDS and not self._in_article():
-                    return True
+                for part in value.split():
+                    words = set(_SPLIT.split(part)) - {""}
+                    if not NAMES.isdisjoint(words) and words <= NAMES | PLAIN:
+                        return True
+                    if "header" in words and words <= HEADER_WORDS and not self._in_article():
+                        return True
         return tag == "header" and not self._in_article()
 
     def _in_article(self) -> bool:
@@ -161,15 +171,15 @@ class Page:
 
 
 def _alive(page: Page) -> list[bool]:
-    """Elements not inside an unwanted one. What encloses an article is not unwanted, whatever its name."""
+    """Elements not inside an unwanted one. What encloses the ``main`` of a page is not unwanted for its name."""
     n = len(page.tag)
-    encloses = [t in ("article", "main") for t in page.tag]
+    encloses = [t == "main" for t in page.tag]
     for i in range(n - 1, 0, -1):
         if encloses[i]:
             encloses[page.parent[i]] = True
     alive = [True] * n
     for i in range(1, n):
-        kept = not page.bad[i] or (encloses[i] and page.tag[i] not in ("nav", "footer", "aside"))
+        kept = not page.bad[i] or (encloses[i] and page.tag[i] not in NEVER)
         alive[i] = alive[page.parent[i]] and kept
     return alive
 
@@ -215,12 +225,7 @@ def main_text(html: str | None) -> str:
     n = len(page.tag)
     density, total = densities(page, alive)
     body = next((i for i in range(n) if page.tag[i] == "body" and alive[i]), 0)
-    # Where the page names its article, the core is looked for there.
-    within = [alive[i] and page.tag[i] in ("article", "main") for i in range(n)]
-    for i in range(1, n):
-        within[i] = alive[i] and (within[i] or within[page.parent[i]])
-    named = any(within[i] and density[i] > 0 for i in range(n))
-    core = max((i for i in range(n) if within[i] or not named), key=lambda i: (total[i] if alive[i] else -1.0, -i))
+    core = max(range(n), key=lambda i: (total[i] if alive[i] else -1.0, density[i] if alive[i] else -1.0, -i))
     path = [core]
     while path[-1] > 0 and path[-1] != body:
         path.append(page.parent[path[-1]])

@@ -358,6 +358,78 @@ def test_pages(spark):
     assert sorted(r.text for r in got) == ["", "", "deep", "x"] and all(r.n_chars == len(r.text) for r in got)
 
 
+BODY = "".join(f"<p>Sentence number {i} of the article says a little more than the one before it.</p>" for i in range(20))
+PLAIN_BODY = "\n".join(f"Sentence number {i} of the article says a little more than the one before it." for i in range(20))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='post'>{BODY}</div><article class='comment'>First! nice post</article><article class='comment'>commenter words here.</article>",
+        f"<div id='content'>{BODY}</div><article><h2>Teaser one</h2><p>short teaser</p></article>",
+        f"<main>{BODY}<div class='comments'><article>I think so too</article></div></main>",
+        f"<main>{BODY}<ol class='comment-list'><li><article class='comment-body'>I think so too</article></li></ol></main>",
+        f"<div class='with-sidebar'><div class='sidebar'>side text, side text</div><div class='entry'>{BODY}</div></div><div class='related-posts'>other things</div>",
+        f"<nav>menu</nav><table><tr><td>{BODY}</td><td class='ads'>buy this</td></tr></table><footer>foot</footer>",
+    ],
+)
+def test_pages_of_common_markup(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == PLAIN_BODY
+
+
+def test_parts_of_an_article_stay_whatever_their_class():
+    page = f"<body><article>{BODY}<div class='related-work'><p>Earlier studies.</p></div><div class='share-buttons'>Share</div></article></body>"
+    assert html_text.main_text(page) == PLAIN_BODY + "\nEarlier studies."
+
+
+def plain_density(page, alive):
+    """Density sums straight from the definition, walking the tree anew for every element."""
+    n = len(page.tag)
+    kids = [[j for j in range(1, n) if page.parent[j] == i and alive[j]] for i in range(n)]
+
+    def under(i):
+        return [i] + [x for k in kids[i] for x in under(k)]
+
+    def linked(i):
+        return page.tag[i] == "a" or (i > 0 and linked(page.parent[i]))
+
+    own = collections.Counter()
+    for node, _, text in page.runs:
+        if alive[node]:
+            own[node] += len("".join(text.split()))
+    whole = sum(own[x] for x in under(0))
+    whole_links = sum(own[x] for x in under(0) if linked(x))
+
+    def density(i):
+        inside = under(i)
+        c, t = sum(own[x] for x in inside), max(len(inside) - 1, 1)
+        lc, lt = sum(own[x] for x in inside if linked(x)), sum(page.tag[x] == "a" for x in inside[1:])
+        if not c:
+            return 0.0
+        base = np.log(c / max(c - lc, 1) * lc + whole_links / max(whole, 1) * c + np.e)
+        if base <= 1 + 1e-9:
+            return c / t
+        return c / t * max(np.log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / np.log(base)
+
+    return [density(i) if alive[i] else 0.0 for i in range(n)], [sum(density(k) for k in kids[i]) if alive[i] else 0.0 for i in range(n)]
+
+
+def test_densities_against_the_definition():
+    rng = random.Random(7)
+    for _ in range(60):
+        def part(depth):
+            if depth == 0 or rng.random() < 0.3:
+                return " ".join("word" * rng.randrange(1, 3) for _ in range(rng.randrange(6)))
+            tag = rng.choice(["div", "p", "a", "span", "section", "nav", "article", "ul"])
+            return f"<{tag}>" + "".join(part(depth - 1) for _ in range(rng.randrange(4))) + f"</{tag}>"
+
+        page = html_text.Page("<body>" + "".join(part(4) for _ in range(4)) + "</body>")
+        alive = html_text._alive(page)
+        density, total = html_text.densities(page, alive)
+        want, sums = plain_density(page, alive)
+        assert np.allclose(density, want) and np.allclose(total, sums)
+
+
 def test_stages(spark, docs, none, tmp_path):
     spark.createDataFrame([(1, "two words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES:
