@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,69 +199,88 @@ def fixed_holidays(months: DataFrame) -> DataFrame:
     return years.select(F.expr(f"inline(array({entries}))")).withColumns({"before": F.lit(1), "after": F.lit(1)})
 
 
-def _season_terms(month_index: np.ndarray, holidays: np.ndarray, start: int) -> np.ndarray:
-    angle = 2 * np.pi * (month_index % 12) / 12
-    return np.column_stack(
-        [
-            np.ones(len(month_index)),
-            (month_index - start) / 12.0,
-            np.sin(angle), np.cos(angle), np.sin(2 * angle), np.cos(2 * angle),
-            holidays,
-        ]
-    )
+def movable_holidays(months: DataFrame, known: DataFrame, before: int = 2, after: int = 1) -> DataFrame:
+    """Calendar rows of the movable feasts for the years in ``months`` (column month) and one more.
+
+    ``known``: holiday, day, for the years of which dates are known. A year without dates takes those of the nearest known
+    year, earlier or later, the earlier one of two as near; days that it does not have are left out.
+    """
+    years = months.agg(F.expr("explode(sequence(year(min(month)), year(max(month)) + 1)) as year"))
+    # One row of as many numbers as there are known years.
+    listed = known.agg(F.collect_set(F.year("day")).alias("y")).scalar()
+    near = F.array_min(F.transform("listed", lambda y: F.struct(F.abs(y - F.col("year")).alias("apart"), y.alias("known"))))
+    dates = known.select("holiday", F.year("day").alias("known"), F.date_format("day", "MM-dd").alias("month_day")).distinct()
+    moved = years.withColumn("listed", listed).withColumn("known", near["known"]).join(dates, "known")
+    day = F.expr("try_cast(concat(lpad(cast(year as string), 4, '0'), '-', month_day) as date)")
+    return moved.select("holiday", day.alias("day")).where("day is not null").withColumns({"before": F.lit(before), "after": F.lit(after)})
+
+
+#: Terms of the seasonal regression: level, trend in years, two yearly harmonics, days under holiday influence.
+_ANGLE = f"({2 * math.pi!r}D * (month_index % 12) / 12)"
+SEASON_TERMS = [
+    "1D", "((month_index - start) / 12D)", f"sin({_ANGLE})", f"cos({_ANGLE})", f"sin(2D * {_ANGLE})", f"cos(2D * {_ANGLE})", "holiday_days",
+]
+
+
+def normal_equations(rows: DataFrame, terms: Sequence[str], target: str, keys: Sequence[str], ridge: float) -> DataFrame:
+    """keys and b0, b1, ...: the least squares coefficients of every group, with a penalty on all but the first term.
+
+    Products are summed by the grouping; the small system is solved by a Cholesky factorisation in column expressions.
+    """
+    size = range(len(terms))
+    named = rows.select(*keys, target, *[F.expr(t).alias(f"t{i}") for i, t in enumerate(terms)])
+    sums = [F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"m{i}_{j}") for i in size for j in range(i + 1)]
+    sums += [F.sum(F.col(f"t{i}") * F.col(target)).alias(f"v{i}") for i in size]
+    out = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+    def less(start: str, products: list[str]) -> str:
+        return " - ".join([start, *products])
+
+    for j in size:
+        start = f"m{j}_{j}" if j == 0 else f"m{j}_{j} + {ridge!r}D * n"
+        out = out.withColumn(f"l{j}_{j}", F.expr(f"sqrt({less(start, [f'l{j}_{k} * l{j}_{k}' for k in range(j)])})"))
+        if j + 1 < len(terms):
+            out = out.withColumns(
+                {f"l{i}_{j}": F.expr(f"({less(f'm{i}_{j}', [f'l{i}_{k} * l{j}_{k}' for k in range(j)])}) / l{j}_{j}") for i in range(j + 1, len(terms))}
+            )
+    for i in size:
+        out = out.withColumn(f"z{i}", F.expr(f"({less(f'v{i}', [f'l{i}_{k} * z{k}' for k in range(i)])}) / l{i}_{i}"))
+    for i in reversed(size):
+        out = out.withColumn(f"b{i}", F.expr(f"({less(f'z{i}', [f'l{k}_{i} * b{k}' for k in range(i + 1, len(terms))])}) / l{i}_{i}"))
+    return out.select(*keys, *[f"b{i}" for i in size])
 
 
 def seasonal(regions: DataFrame, holidays: DataFrame, months: int = 3, ridge: float = 1e-3) -> DataFrame:
     """Trend, two yearly harmonics and a holiday effect per region × item, with a 90 % band.
 
-    A series is one value per month, so the group handed to Python is small whatever the input.
+    Grouped sums and column expressions only. The first term is not penalised, so residuals have mean 0.
     """
+    keys = ["region", "item"]
     index = "(year(month) * 12 + month(month) - 1)"
     calendar = holidays.select(F.expr(f"{index} as month_index"), "holiday_days")
-    history = regions.select("region", "item", F.expr(f"{index} as month_index"), "quantity")
-    ahead = (
-        history.groupBy("region", "item")
-        .agg(F.max("month_index").alias("last"))
-        .select("region", "item", F.expr(f"explode(sequence(last + 1, last + {months})) as month_index"))
-        .withColumn("quantity", F.lit(None).cast("double"))
-    )
-    rows = (
-        history.unionByName(ahead)
-        .join(calendar, "month_index", "left")
-        .withColumn("holiday_days", F.coalesce(F.col("holiday_days"), F.lit(0)).cast("double"))
-    )
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month_index")
-        known, future = pdf[pdf.quantity.notna()], pdf[pdf.quantity.isna()]
-        start = int(known.month_index.min())
-        x = _season_terms(known.month_index.to_numpy(), known.holiday_days.to_numpy(), start)
-        y = known.quantity.to_numpy()
-        penalty = ridge * len(y) * np.eye(x.shape[1])
-        penalty[0, 0] = 0.0
-        beta = np.linalg.lstsq(x.T @ x + penalty, x.T @ y, rcond=None)[0]
-        spread = Z_90 * float(np.std(y - x @ beta))
-        ahead_x = _season_terms(future.month_index.to_numpy(), future.holiday_days.to_numpy(), start)
-        line = ahead_x @ beta
-        return pd.DataFrame(
-            {
-                "region": pdf.region.iloc[0],
-                "item": pdf.item.iloc[0],
-                "month_offset": np.arange(1, len(line) + 1, dtype="int32"),
-                "predicted": np.maximum(line, 0.0),
-                "lower": np.maximum(line - spread, 0.0),
-                "upper": np.maximum(line + spread, 0.0),
-                "trend": ahead_x[:, :2] @ beta[:2],
-                "season": ahead_x[:, 2:6] @ beta[2:6],
-                "holiday_effect": ahead_x[:, 6] * beta[6],
-            }
-        )
-
-    schema = (
-        "region string, item string, month_offset int, predicted double, lower double, upper double,"
-        "trend double, season double, holiday_effect double"
+    history = regions.select(*keys, F.expr(f"{index} as month_index"), F.col("quantity").cast("double").alias("quantity")).where("quantity is not null")
+    ends = history.groupBy(*keys).agg(F.min("month_index").alias("start"), F.max("month_index").alias("last"))
+
+    def with_days(rows: DataFrame) -> DataFrame:
+        return rows.join(calendar, "month_index", "left").withColumn("holiday_days", F.coalesce("holiday_days", F.lit(0)).cast("double"))
+
+    known = with_days(history.join(ends, keys))
+    beta = stored(normal_equations(known, SEASON_TERMS, "quantity", keys, ridge), "season")
+    line = " + ".join(f"b{i} * {t}" for i, t in enumerate(SEASON_TERMS))
+    spread = known.join(beta, keys).groupBy(*keys).agg(F.expr(f"{Z_90!r}D * sqrt(avg(pow(quantity - ({line}), 2))) as spread"))
+    ahead = with_days(ends.withColumn("month_index", F.explode(F.sequence(F.col("last") + 1, F.col("last") + months))))
+    parts = {"trend": SEASON_TERMS[:2], "season": SEASON_TERMS[2:6], "holiday_effect": SEASON_TERMS[6:]}
+    first = {"trend": 0, "season": 2, "holiday_effect": 6}
+    sums = [F.expr(" + ".join(f"b{first[n] + i} * {t}" for i, t in enumerate(own))).alias(n) for n, own in parts.items()]
+    told = ahead.join(beta, keys).join(spread, keys).select(*keys, (F.col("month_index") - F.col("last")).cast("int").alias("month_offset"), F.expr(f"{line} as line"), "spread", *sums)
+    return told.select(
+        *keys,
+        "month_offset",
+        F.greatest("line", F.lit(0.0)).alias("predicted"),
+        F.greatest(F.col("line") - F.col("spread"), F.lit(0.0)).alias("lower"),
+        F.greatest(F.col("line") + F.col("spread"), F.lit(0.0)).alias("upper"),
+        *parts,
     )
-    return rows.groupBy("region", "item").applyInPandas(fit, schema)
 
 
 def share_out(seasonal_forecast: DataFrame, series: DataFrame, outlets: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from granary.operators import alerts as al
 from granary.operators import density, entitlement, forecast, forest, geo, graph, reports, rules, scoring, statistical
 from granary.operators.features import with_baseline
 from granary.operators.scaling import standard_scale
 from granary.session import cut
+from granary.sources import runs
 
 CLUSTER_COLUMNS = ["staple_per_card", "collection_rate", "fuel_per_card"]
 
@@ -60,11 +60,13 @@ def run_pipeline(
     run_date: str,
     folder: str,
     reach_km: float = geo.REACH_KM,
+    merge_km: float = geo.MERGE_KM,
+    staple: str | None = None,
     **detection,
 ) -> dict[str, str]:
-    """Run everything and write the result tables; a repeated run date replaces its own rows.
+    """Run everything and publish the result tables at once; a repeated run date replaces its own tables.
 
-    ``features`` are the outlet features of the period. Returns table name → path.
+    ``features`` are the outlet features of the period. Returns table name → path; ``granary.sources.runs`` reads them.
     """
     spark = outlets.sparkSession
     features = cut(features)
@@ -75,13 +77,20 @@ def run_pipeline(
     scored = cut(scoring.score_outlets(gaps, al.max_score(alerts)))
     with_cards = geo.utilisation(outlets, features)
     access = geo.access_summary(distances, reach_km)
+    forecasts = cut(forecast.forecast_run(outlets, lifts, items))
+    far = geo.access_gaps(distances, reach_km)
     tables = {
         "alerts": alerts,
         "alert_summary": al.alert_summary(alerts, features),
-        "forecasts": forecast.forecast_run(outlets, lifts, items),
+        "forecasts": forecasts,
+        "risk_flags": forecast.risk_flags(forecasts, gaps, staple or items[0]),
         "supply_gaps": gaps.drop("breakdown"),
+        "region_supply": entitlement.region_supply(gaps),
         "access": access,
-        "access_gaps": geo.gap_list(geo.access_gaps(distances, reach_km)),
+        "access_gaps": geo.gap_list(far),
+        "new_sites": geo.new_sites(far),
+        "service_zones": geo.service_zones(outlets),
+        "underused_outlets": geo.underused_outlets(with_cards, within_km=merge_km),
         "region_access": geo.region_accessibility(distances, reach_km),
         "load_equity": geo.load_equity(with_cards),
         "vulnerability": geo.vulnerability(with_cards, gaps, al.max_score(alerts)),
@@ -90,15 +99,4 @@ def run_pipeline(
         "kpis": reports.kpis(outlets, members, lifts, alerts, access),
         **members_of,
     }
-    paths = {}
-    for name, frame in tables.items():
-        paths[name] = f"{folder}/{name}"
-        (
-            frame.withColumn("run_date", F.lit(run_date).cast("date"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_date")
-            .parquet(paths[name])
-        )
-    spark.sparkContext.setJobDescription(None)
-    return paths
+    return runs.publish(spark, folder, run_date, tables)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary.functions.columns import half_even
 from granary.operators import forecast as fc
 from granary.plans import inputs
 from granary.plans.memo import remembered
-from granary.plans.queries_scores import gaps
+from granary.plans.queries_scores import GAP_CTES, gaps
 from granary.plans.registry import query
 from granary.plans.sql import LIFTS, OUTLETS, with_
 from granary.plans.sql import half_even as r
@@ -172,6 +173,41 @@ def q_holidays(spark, d):
     return fc.holiday_days(fc.fixed_holidays(regions(spark, d)))
 
 
+PEAKS = f"""peaks as (select 'peak Q' || q as holiday, day from (
+    select day, quarter(day) as q, row_number() over (partition by year(day), quarter(day) order by total desc, day) as k
+    from (select cast(o_orderdate as date) as day, {r("sum(o_totalprice)", 2)} as total from orders group by 1) where year(day) % 3 = 0) where k = 1)"""
+CALENDAR = """years as (select y from (select min(year(lift_ts)) as a, max(year(lift_ts)) + 1 as b from lifts), range(1900, 2200) t(y) where y between a and b),
+known_years as (select distinct year(day) as k from peaks),
+nearest as (select y, arg_min(k, abs(k - y) * 10000 + k) as k from years, known_years group by y),
+feasts as (select distinct holiday, try_cast(lpad(y::varchar, 4, '0') || '-' || strftime(day, '%m-%d') as date) as day from nearest join peaks on year(day) = k),
+moved as (select holiday, day from feasts where day is not null),
+calendar as (select cast(date_trunc('month', day) as date) as month, count(*) as holiday_days from (
+  select distinct cast(make_date(y, m, d) + o as date) as day from years, (values (1, 26), (8, 15), (12, 25), (1, 15), (10, 2)) h(m, d), (values (-1), (0), (1)) t(o)
+  union select distinct cast(day + o as date) from moved, (values (-2), (-1), (0), (1)) t(o)) group by 1)"""
+
+
+def peak_days(spark, d):
+    """The day with most ordered value of each quarter, for every third year: feasts that move and are not known for all years."""
+    days = fixtures.table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(half_even(F.sum("o_totalprice"), 2).alias("total"))
+    days = days.where("year(day) % 3 = 0").groupBy(F.year("day"), F.quarter("day").alias("q"))
+    best = days.agg(F.min(F.struct((-F.col("total")).alias("t"), "day")).alias("best"))
+    return best.select(F.concat(F.lit("peak Q"), F.col("q").cast("string")).alias("holiday"), "best.day")
+
+
+def all_holidays(spark, d):
+    return fc.fixed_holidays(regions(spark, d)).unionByName(fc.movable_holidays(regions(spark, d), peak_days(spark, d)))
+
+
+@query("movable_holidays", "P9", with_(LIFTS, PEAKS, CALENDAR) + "select holiday, day, 2 as before, 1 as after from moved")
+def q_movable(spark, d):
+    return fc.movable_holidays(regions(spark, d), peak_days(spark, d))
+
+
+@query("holiday_days_with_feasts", "P9 U2", with_(LIFTS, PEAKS, CALENDAR) + "select month, holiday_days from calendar")
+def q_feasts(spark, d):
+    return fc.holiday_days(all_holidays(spark, d))
+
+
 TEST = """back as (select *, row_number() over (partition by outlet_id, item order by month desc) as b from series),
 held as (select outlet_id, item, month, quantity as actual, 3 - b as month_offset from back where b <= 2),
 train as (select outlet_id, item, month, quantity from back where b > 2),
@@ -242,22 +278,91 @@ def q_retrain(spark, d):
     return fc.retrain_list(series(spark, d), fc.mape(tested(spark, d), [*fc.SERIES, "model"]), ["smoothing", "growth"])
 
 
-@query("seasonal_forecast", "P8")
+def _seasonal_sql(months: int = 3, ridge: float = 1e-3) -> str:
+    """The regression in SQL: elimination on the normal equations, one CTE per pivot."""
+    angle = "(2 * pi() * (mi % 12) / 12)"
+    terms = ["1.0::double", "((mi - start) / 12.0::double)", f"sin({angle})", f"cos({angle})", f"sin(2 * {angle})", f"cos(2 * {angle})", "days"]
+    n = len(terms)
+    cells = [f"sum(t{i} * t{j}) + {ridge if i == j and i else 0}::double * count(*) as a{i}_{j}" for i in range(n) for j in range(n)]
+    cells += [f"sum(t{i} * quantity) as a{i}_{n}" for i in range(n)]
+    parts = [
+        """history as (select region, item, year(month) * 12 + month(month) - 1 as mi, quantity::double as quantity from region_series),
+ends as (select region, item, min(mi) as start, max(mi) as last from history group by 1, 2),
+cal as (select year(month) * 12 + month(month) - 1 as mi, holiday_days from calendar),
+points as (select h.*, start, last, coalesce(holiday_days, 0)::double as days from history h join ends using (region, item) left join cal using (mi))""",
+        "terms as (select region, item, quantity, " + ", ".join(f"{t} as t{i}" for i, t in enumerate(terms)) + " from points)",
+        "e0 as (select region, item, " + ", ".join(cells) + " from terms group by 1, 2)",
+    ]
+    for k in range(n):
+        rows = [
+            (f"a{k}_{j} / a{k}_{k}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k}") + f" as a{i}_{j}"
+            for i in range(n) for j in range(k + 1, n + 1)
+        ]
+        parts.append(f"e{k + 1} as (select region, item, {', '.join(rows)} from e{k})")
+    line = " + ".join(f"a{i}_{n} * {t}" for i, t in enumerate(terms))
+    some = lambda a, b: " + ".join(f"a{i}_{n} * {terms[i]}" for i in range(a, b))
+    parts += [
+        f"spreads as (select region, item, 1.645::double * sqrt(avg(pow(quantity - ({line}), 2))) as spread from points join e{n} using (region, item) group by 1, 2)",
+        f"""ahead as (select region, item, start, last, last + m as mi, cast(m as integer) as month_offset, coalesce(holiday_days, 0)::double as days
+  from ends, range(1, {months + 1}) t(m) left join cal on cal.mi = last + m)""",
+        f"""seasons as (select region, item, month_offset, greatest({line}, 0) as predicted, greatest({line} - spread, 0) as lower, greatest({line} + spread, 0) as upper,
+  {some(0, 2)} as trend, {some(2, 6)} as season, {some(6, 7)} as holiday_effect from ahead join e{n} using (region, item) join spreads using (region, item))""",
+    ]
+    return ",\n".join(parts)
+
+
+SEASONS = _seasonal_sql()
+
+
+@query(
+    "seasonal_forecast",
+    "P8 P9",
+    with_(LIFTS, REGION_SERIES, PEAKS, CALENDAR, SEASONS) + "select * from seasons",
+    doubles=["predicted", "lower", "upper", "trend", "season", "holiday_effect"],
+    digits=3,
+)
 def q_seasonal(spark, d):
-    return fc.seasonal(regions(spark, d), fc.holiday_days(fc.fixed_holidays(regions(spark, d))))
+    return fc.seasonal(regions(spark, d), fc.holiday_days(all_holidays(spark, d)))
+
+
+FORECASTS = f"""own_sums as (select outlet_id, item, sum(quantity) as own, region from series join outlets using (outlet_id) group by 1, 2, 4),
+all_sums as (select region, item, sum(own) as all_outlets from own_sums group by 1, 2),
+shared as (select outlet_id, item, month_offset, {", ".join(r(f"{c} * case when all_outlets > 0 then own / all_outlets else 0 end", 2) + f" as {c}" for c in ("predicted", "lower", "upper"))}
+  from own_sums join all_sums using (region, item) join seasons using (region, item)),
+blended as (select s.outlet_id, s.item, s.last_month, s.month_offset, 0.4::double * s.predicted + 0.6::double * g.predicted as blend,
+  least(s.lower, g.lower) as low, greatest(s.upper, g.upper) as high from smooth s join shared g using (outlet_id, item, month_offset)),
+told as (
+  select outlet_id, item, last_month, month_offset, {r("blend", 2)} as predicted, {r("low", 2)} as lower, {r("high", 2)} as upper, 'ensemble' as model,
+    case when blend < low * 0.7::double then 'understock_risk' when blend > high * 1.3::double then 'overstock_risk' end as risk_flag from blended
+  union all select outlet_id, item, last_month, cast(m as integer), {r("base * pow(1.02::double, m)", 2)}, {r("base * pow(1.02::double, m) * 0.85::double", 2)},
+    {r("base * pow(1.02::double, m) * 1.15::double", 2)}, 'growth', null from short, range(1, 4) t(m) where base <> 0
+  union all select outlet_id, item, null, null, null, null, null, 'no_data', null from short where base = 0),
+forecasts as (select t.* exclude (last_month), region, cast(last_month + to_months(month_offset) as date) as forecast_month from told t left join outlets using (outlet_id))"""
+FORECAST_CTES = (LIFTS, OUTLETS, SERIES, REGION_SERIES, FEATS, LEVELS, SMOOTH, SHORT, PEAKS, CALENDAR, SEASONS, FORECASTS)
 
 
 @remembered
 def forecasts(spark, d):
     lifts = fixtures.lifts(spark, d)
-    return inputs.keep(fc.forecast_run(fixtures.outlets(spark, d), lifts, ALL_ITEMS))
+    days = fc.holiday_days(all_holidays(spark, d))
+    return inputs.keep(fc.forecast_run(fixtures.outlets(spark, d), lifts, ALL_ITEMS, holidays=days))
 
 
-@query("forecast_run", "P14")
+@query("forecast_run", "P14", with_(*FORECAST_CTES) + "select * from forecasts", doubles=["predicted", "lower", "upper"], digits=1)
 def q_run(spark, d):
     return forecasts(spark, d)
 
 
-@query("risk_flags", "V14 P14")
+@query(
+    "risk_flags",
+    "V14 P14",
+    with_(*FORECAST_CTES, *GAP_CTES)
+    + f"""select outlet_id, region, item, month_offset, risk_flag, null::double as gap_pct, model from forecasts where month_offset <= 1 and risk_flag is not null
+     union all select outlet_id, region, item, month_offset, flag, null, 'entitlement' from (
+       select f.outlet_id, f.region, item, month_offset, case when predicted < expected_staple * 0.7::double then 'understock_risk'
+         when predicted > expected_staple * 1.3::double then 'overstock_risk' end as flag
+       from forecasts f join gaps g on g.outlet_id = f.outlet_id where item = '{fixtures.ITEMS["staple"]}' and month_offset <= 1) where flag is not null
+     union all select outlet_id, region, null, null, 'over_supplied', gap_pct, 'entitlement' from gaps where supply_status = 'over_supplied'""",
+)
 def q_flags(spark, d):
     return fc.risk_flags(forecasts(spark, d), gaps(spark, d), fixtures.ITEMS["staple"])

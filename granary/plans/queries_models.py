@@ -281,7 +281,27 @@ def q_cluster_findings(spark, d):
     )
 
 
-@query("lift_clusters", "X7 D20")
+LIFT_POINTS = """lift_points as (select lift_id, floor(epoch(lift_ts)) / 86400.0::double as d, quantity as q, outlet_id::double as o from card_lifts),
+lift_moments as (select avg(d) as m1, stddev_pop(d) as s1, avg(q) as m2, stddev_pop(q) as s2, avg(o) as m3, stddev_pop(o) as s3 from lift_points),
+lift_scaled as materialized (select lift_id, (d - m1) / s1 as x, (q - m2) / s2 as y, (o - m3) / s3 as z from lift_points, lift_moments),
+lift_close as materialized (select p.lift_id as a, q.lift_id as b from lift_scaled p join lift_scaled q on p.x between q.x - 0.300001 and q.x + 0.300001
+   where sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) <= 0.3::double),
+lift_core as materialized (select a from lift_close group by 1 having count(*) >= 5),
+lift_links as materialized (select a, b from lift_close where a in (select a from lift_core) and b in (select a from lift_core))"""
+LIFT_LABELS = spread_labels("lift_lab", "lift_links", 60)
+LIFT_GROUPS = """lift_groups as (select v as lift_id, l as cluster from lift_lab60
+  union all select e.a, min(c.l) from lift_close e join lift_lab60 c on c.v = e.b where e.a not in (select a from lift_core) group by e.a)"""
+
+
+@query(
+    "lift_clusters",
+    "X7 D20",
+    with_(EVENTS, LIFT_POINTS, LIFT_LABELS, LIFT_GROUPS)
+    + """select cluster, count(*) as lifts, count(distinct outlet_id) as outlets, sum(quantity) as quantity, min(lift_ts) as first_lift,
+       max(lift_ts) as last_lift from lift_groups join card_lifts using (lift_id) group by 1""",
+    doubles=["quantity"],
+    digits=6,
+)
 def q_lift_clusters(spark, d):
     """Card lifts close in time, quantity and outlet number."""
     rows = fixtures.card_events(spark, d).selectExpr(

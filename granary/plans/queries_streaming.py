@@ -83,8 +83,13 @@ def q_master(spark, d):
        avg(abs((actual - predicted) / actual)) > 0.15 as retrain from tested where actual <> 0 group by 1, 2, 3""",
 )
 def q_monitor(spark, d):
-    actuals = series(spark, d).select(*fc.SERIES, "month", F.col("quantity").alias("actual"))
-    return sr.forecast_errors(actuals, tested(spark, d), more=("model",))
+    return sr.error_summary(sr.error_rows(*_feeds(spark, d)))
+
+
+def _feeds(spark, d):
+    """Actual quantities and forecasts of the backtest with their times."""
+    actuals = series(spark, d).select(*fc.SERIES, F.col("month").cast("timestamp").alias("actual_at"), F.col("quantity").alias("actual"))
+    return actuals, tested(spark, d).select(*fc.SERIES, "model", F.col("month").cast("timestamp").alias("forecast_at"), "predicted")
 
 
 def _event_stream(spark, d):
@@ -238,3 +243,24 @@ def q_stream_master(spark, d):
         spark,
         joined.select("outlet_id", "region", "is_active", (F.col("staple_per_card") > F.col("staple_per_card_p95")).alias("above_p95")),
     )
+
+
+@query("stream_forecast_errors", "S9", QUERIES["forecast_error_monitor"].sql)
+def q_stream_errors(spark, d):
+    """Both feeds as streams of several files, joined as they come; the errors found are then summed up."""
+    feeds = [
+        sr.file_stream(spark, _in_parts(spark, df, time), df.schema, files_per_trigger=1)
+        for df, time in zip(_feeds(spark, d), ("actual_at", "forecast_at"))
+    ]
+    return sr.error_summary(_run(spark, sr.error_rows(*feeds)))
+
+
+@query("stream_quick_report_scores", "S1 D31", QUERIES["quick_report_scores"].sql)
+def q_stream_scores(spark, d):
+    """Rule scores of reports that come in several files."""
+    features = inputs.features(spark, d)
+    folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    features.repartition(3, "outlet_id").write.parquet(folder)
+    stream = sr.file_stream(spark, folder, features.schema, files_per_trigger=1)
+    scored = sr.score_reports(stream, ceiling=inputs.CEILING, phantom_rate=0.5)
+    return _run(spark, scored.select("outlet_id", "rule", "score", "severity", "is_flagged"))

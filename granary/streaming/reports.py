@@ -158,21 +158,37 @@ def write_critical(alerts: DataFrame, path: str, checkpoint: str, severities: tu
     return alerts.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
-def forecast_errors(actuals: DataFrame, forecasts: DataFrame, retrain_above: float = 0.15, more: tuple[str, ...] = ()) -> DataFrame:
-    """Running error of the forecasts as actual quantities arrive, with a retrain mark.
+def error_rows(actuals: DataFrame, forecasts: DataFrame, wait: str = "62 days") -> DataFrame:
+    """outlet_id, item, model, forecast_at, error: each actual quantity that meets a forecast of its month.
 
-    ``actuals``: outlet_id, item, month, actual; ``forecasts``: outlet_id, item, month, predicted, and ``more`` keys.
+    ``actuals``: outlet_id, item, actual_at, actual; ``forecasts``: outlet_id, item, model, forecast_at (start of the
+    month), predicted. Either may be a stream or a table. As streams they wait for each other: the watermark is the
+    latest time of the stream that lags, less ``wait``; rows older than that are dropped, and state is kept only for months it
+    has not passed. Actuals of zero have no relative error and are left out.
     """
-    return (
-        actuals.where("actual <> 0")
-        .join(forecasts.select("outlet_id", "item", "month", *more, "predicted"), ["outlet_id", "item", "month"])
-        .groupBy("outlet_id", "item", *more)
-        .agg(F.expr("avg(abs((actual - predicted) / actual)) as mape"), F.count(F.lit(1)).alias("months"))
-        .withColumn("retrain", F.col("mape") > retrain_above)
-        .withColumn("mape", half_even("mape", 6))
+    told = forecasts.select(
+        F.col("outlet_id").alias("f_outlet"), F.col("item").alias("f_item"), "model", "forecast_at", "predicted"
+    )
+    came = actuals.where("actual <> 0").select("outlet_id", "item", "actual_at", "actual")
+    if told.isStreaming:
+        told = told.withWatermark("forecast_at", wait)
+    if came.isStreaming:
+        came = came.withWatermark("actual_at", wait)
+    same = (
+        "outlet_id = f_outlet and item = f_item and actual_at >= forecast_at and actual_at < forecast_at + interval 31 days"
+        " and date_trunc('month', actual_at) = forecast_at"
+    )
+    return came.join(told, F.expr(same)).select(
+        "outlet_id", "item", "model", "forecast_at", F.expr("abs((actual - predicted) / actual) as error")
     )
 
 
+def error_summary(rows: DataFrame, retrain_above: float = 0.15) -> DataFrame:
+    """Mean error of each series and model, with a retrain mark."""
+    found = rows.groupBy("outlet_id", "item", "model").agg(F.avg("error").alias("mape"), F.count(F.lit(1)).alias("months"))
+    return found.withColumn("retrain", F.col("mape") > retrain_above).withColumn("mape", half_even("mape", 6))
+
+
 def drain(writer, timeout_s: int = 600) -> None:
     """Process what is there now, then stop; a query that does not end in time is an error."""
     running = writer.trigger(availableNow=True).start()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import itertools
 import math
 import random
@@ -135,6 +136,32 @@ def test_components_equal_union_find(spark):
     assert got == {v: smallest[r] for v, r in want.items()}
 
 
+def test_thin_points_meet_few_parts_of_a_dense_cell(spark, monkeypatch):
+    """100,000 points in one cell, and points around it that see much, little or nothing of it."""
+    rng = np.random.default_rng(6)
+    side = 0.4 / math.sqrt(2) * (1 - 1e-9)
+    dense = rng.uniform(0.01, 0.27, (100_000, 2))
+    thin = np.array([[0.3, 0.14], [0.45, 0.14], [0.6, 0.2], [0.66, 0.27], [0.14, -0.39], [-0.2, -0.2], [2.0, 2.0]])
+    x = np.vstack([dense, thin])
+    assert len({tuple(v) for v in np.floor(dense / side)}) == 1
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "a": x[:, 0], "b": x[:, 1]}))
+    cut, most = density.cut, []
+
+    def watched(frame):
+        out = cut(frame)
+        if "inside" in out.columns:
+            most.append(out.groupBy("p_id").count().agg(F.max("count")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(density, "cut", watched)
+    got = {r.id: (r.cluster, r.is_core) for r in density.cluster(df, "id", ["a", "b"], 0.4, 5).where("id >= 100000").collect()}
+    near = (np.linalg.norm(thin[:, None] - x[None], axis=2) <= 0.4).sum(axis=1)
+    core = near >= 5
+    touches = [any(np.linalg.norm(t - y) <= 0.4 for y in np.vstack([dense, thin[core]])) for t in thin]
+    assert got == {100_000 + i: (0 if touches[i] else None, bool(core[i])) for i in range(len(thin))}
+    assert core.any() and not core.all() and max(most) <= 64
+
+
 def test_planted_ring_is_found(spark):
     rows = [(f"c{i}", f"s{j}") for i in range(3) for j in range(2)] * 3 + [("lone", "s9")]
     lifts = spark.createDataFrame([(c, s, 1.0, False) for c, s in rows] + [(None, "s1", 1.0, True)], "card_id string, outlet_id string, quantity double, verified boolean")
@@ -196,6 +223,42 @@ def test_seasonal_fit_recovers_a_planted_season(spark):
     assert (got.lower <= got.predicted).all() and (got.predicted <= got.upper).all()
 
 
+def test_seasonal_fit_equals_a_plain_solve(spark):
+    """Short, long and constant series, with holidays inside and after them."""
+    rng = np.random.default_rng(3)
+    months = pd.date_range("2020-01-01", periods=30, freq="MS")
+    tables = [pd.DataFrame({"region": f"r{n}", "item": "x", "month": months[:n].date, "quantity": np.full(n, 7.0) if n == 5 else rng.uniform(50, 90, n)}) for n in (1, 2, 5, 12, 30)]
+    regions = spark.createDataFrame(pd.concat(tables))
+    calendar = forecast.holiday_days(forecast.fixed_holidays(regions))
+    days = {r.month: r.holiday_days for r in calendar.collect()}
+    got = {(r.region, r.month_offset): r for r in forecast.seasonal(regions, calendar, 3, ridge=0.01).collect()}
+
+    def terms(index, start):
+        angle = 2 * np.pi * (index % 12) / 12
+        day = [days.get(dt.date(i // 12, i % 12 + 1, 1), 0) for i in index]
+        return np.column_stack([np.ones(len(index)), (index - start) / 12, np.sin(angle), np.cos(angle), np.sin(2 * angle), np.cos(2 * angle), day])
+
+    for table in tables:
+        n, index = len(table), np.array([m.year * 12 + m.month - 1 for m in table.month])
+        x, y = terms(index, index[0]), table.quantity.to_numpy()
+        beta = np.linalg.solve(x.T @ x + 0.01 * n * np.diag([0.0] + [1.0] * 6), x.T @ y)
+        spread = 1.645 * np.std(y - x @ beta)
+        ahead = terms(index[-1] + np.arange(1, 4), index[0]) @ beta
+        for k in range(3):
+            r = got[table.region[0], k + 1]
+            assert np.allclose([r.predicted, r.lower, r.upper], np.maximum([ahead[k], ahead[k] - spread, ahead[k] + spread], 0), rtol=1e-6, atol=1e-6)
+            assert r.trend + r.season + r.holiday_effect == pytest.approx(ahead[k], abs=1e-6)
+
+
+def test_movable_feasts_take_the_nearest_known_year(spark):
+    months = spark.createDataFrame([(dt.date(2019, 5, 1),), (dt.date(2024, 1, 1),)], "month date")
+    known = [("F", dt.date(2020, 2, 29)), ("G", dt.date(2020, 11, 14)), ("F", dt.date(2023, 3, 8)), ("F", dt.date(2023, 3, 8))]
+    got = forecast.movable_holidays(months, spark.createDataFrame(known, "holiday string, day date"))
+    want = [("G", dt.date(y, 11, 14)) for y in (2019, 2020, 2021)] + [("F", dt.date(2020, 2, 29))] + [("F", dt.date(y, 3, 8)) for y in (2022, 2023, 2024, 2025)]
+    assert sorted(map(tuple, got.collect())) == sorted((h, d, 2, 1) for h, d in want)
+    assert forecast.movable_holidays(months, spark.createDataFrame([], "holiday string, day date")).count() == 0
+
+
 def test_forest_finds_planted_outliers(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (400, 3))

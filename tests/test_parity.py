@@ -9,7 +9,7 @@ from tests.parity import DATA, compare, connect
 
 SF = f"{DATA}/sf0.001"
 # Long runs with their own tests or checked by the driver; here they would double the test time.
-SLOW = {"pipeline_snapshot", "lift_clusters"}
+SLOW = {"pipeline_snapshot"}
 
 
 @pytest.fixture(scope="module")

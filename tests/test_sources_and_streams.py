@@ -82,7 +82,7 @@ def test_python_stages_find_the_package_from_another_folder(tmp_path):
         "from granary.session import build_session\n"
         "from granary.plans.catalog import QUERIES\n"
         "spark = build_session('local[2]', **{'spark.sql.shuffle.partitions': '2', 'spark.ui.showConsoleProgress': 'false'})\n"
-        "assert QUERIES['seasonal_forecast'].plan(spark, '/root/testdata/sf0.001').count() > 0\n"
+        "assert QUERIES['isolation_forest_scores'].plan(spark, '/root/testdata/sf0.001').count() > 0\n"
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**__import__("os").environ, "PYTHONPATH": ""}, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
@@ -135,6 +135,36 @@ def test_stream_windows_equal_batch_and_late_rows_drop(spark, tmp_path):
     assert len(again) == len(batch)
 
 
+def test_error_stream_equals_batch_and_drops_late_actuals(spark, tmp_path):
+    def at(month):
+        return dt.datetime(2024 + (month - 1) // 12, (month - 1) % 12 + 1, 1)
+
+    a_schema, f_schema = "outlet_id string, item string, actual_at timestamp, actual double", "outlet_id string, item string, model string, forecast_at timestamp, predicted double"
+    actuals = [(f"o{o}", "a", at(m) + dt.timedelta(days=o), 10.0 * (m % 3)) for m in range(1, 13) for o in range(4)]
+    forecasts = [(f"o{o}", "a", model, at(m), 9.0 + m) for m in range(1, 13) for o in range(4) for model in ("x", "y")]
+
+    def run(parts, late=()):
+        home = tmp_path / f"{parts}-{len(late)}"
+        for k in range(parts):
+            own = range(12 * k // parts + 1, 12 * (k + 1) // parts + 1)
+            more = list(late) if k == parts - 1 else []
+            spark.createDataFrame([r for r in actuals if r[2].month in own] + more, a_schema).coalesce(1).write.mode("append").parquet(f"{home}/a")
+            spark.createDataFrame([r for r in forecasts if r[3].month in own], f_schema).coalesce(1).write.mode("append").parquet(f"{home}/f")
+        feeds = [
+            reports.file_stream(spark, f"{home}/{n}", spark.createDataFrame([], schema).schema, files_per_trigger=1)
+            for n, schema in (("a", a_schema), ("f", f_schema))
+        ]
+        writer = reports.error_rows(*feeds, wait="40 days").writeStream.format("parquet").option("path", f"{home}/out")
+        reports.drain(writer.option("checkpointLocation", f"{home}/state"), 200)
+        return sorted(map(tuple, reports.error_summary(spark.read.parquet(f"{home}/out")).collect()))
+
+    batch = reports.error_summary(reports.error_rows(spark.createDataFrame(actuals, a_schema), spark.createDataFrame(forecasts, f_schema)))
+    want = sorted(map(tuple, batch.collect()))
+    assert len(want) == 8 and run(1) == run(3) == want
+    # January comes again in the last of three files: too late, so nothing changes.
+    assert run(3, [("o0", "a", at(1), 1000.0)]) == want
+
+
 def test_repeat_flags_survive_a_restart(spark, tmp_path):
     source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "outlet_id string, alert_id string, detected_at timestamp"
