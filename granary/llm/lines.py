@@ -66,7 +66,8 @@ def originals(docs: DataFrame, text_col: str, id_col: str, site_col: str) -> Dat
     dropped = stored(near.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "dropped")
     scratch.drop()
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_col, site_col)
-    return own.join(dropped, "id", "left_anti").select(text_col, site_col)
+    # The ids grow with the documents: never broadcast, however few they are.
+    return own.join(dropped.hint("merge"), "id", "left_anti").select(text_col, site_col)
 
 
 def _marked(

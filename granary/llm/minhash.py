@@ -324,7 +324,8 @@ def near_duplicates(
     # Only classes that share a band with another are ever compared again.
     shared = stored(stars.select(F.col("a").alias("doc")).unionByName(stars.select(F.col("b").alias("doc"))).distinct(), "shared")
     texts = stored(
-        base.withColumnRenamed("doc_id", "doc").join(shared, "doc", "left_semi").select("doc", "text"), "candidates"
+        # The ids grow with the documents: never broadcast, however few they are.
+        base.withColumnRenamed("doc_id", "doc").join(shared.hint("merge"), "doc", "left_semi").select("doc", "text"), "candidates"
     )
     close = classes.join(shared, classes["rep"] == shared["doc"], "left_semi")
     one = close.select(F.col("rep").alias("a"), "n", "sketch")
