@@ -37,7 +37,8 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     scratch = Scratch(spark)
     dropped = stored(minhash.near_duplicates(docs, scratch=scratch).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
     scratch.drop()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # The ids grow with the documents: never broadcast, however few they are.
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
