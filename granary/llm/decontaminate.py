@@ -6,8 +6,10 @@ occurrence is untouched (pigeonhole), so exact hits of pieces, found by one auto
 every occurrence. Around a hit the item is compared with the text by Myers' bit-parallel algorithm, one column per
 byte, the occurrence free to start and end anywhere.
 
-Items are split into blocks of bounded size; each block is one pass over the documents with its own
-automaton, so what a task holds does not grow with the benchmark.
+Items are split into blocks of bounded size; for ``report`` each block is one pass over the documents with its own
+automaton. ``clean`` chains the blocks, one worker each, so a task of it holds the automata of the whole benchmark, and
+the items pass through the driver: a benchmark is taken to be small against the documents. Items under ``SPACING``
+bytes have no budget and are found exactly, inside words too.
 
 Null and empty texts contain nothing; empty items are contained in nothing. Items with equal text are all
 reported. Rows with equal id are separate documents. Other columns are kept by ``clean``.

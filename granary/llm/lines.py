@@ -1,6 +1,6 @@
 """Removal of boilerplate lines: lines that stand on many distinct sites.
 
-Each line of a document (split at newlines, white space around it cut off) gets a HyperLogLog sketch of the
+Each line of a document (split at newlines, spaces U+0020 around it cut off, no other white space) gets a HyperLogLog sketch of the
 sites it occurs on, built per partition and merged by the aggregation, so a line common to every document is
 one small sketch per task. Sketches decide lines far from the threshold; lines near it, within the error
 of the sketch, get exact distinct counts. The result is the same as by exact counts for all lines.

@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of scored pieces.
 
-The text is marked by one space in front, and spaces are the whitespace marker of the pieces. Among all ways
+The normaliser that a model file may name is not applied; texts are taken as they are. The text is marked by one space in front, and spaces are the whitespace marker of the pieces. Among all ways
 to cut it into pieces the one with the largest sum of scores is taken; among equal ones, at each end the
 one whose last piece is longest. A character that is no piece itself may be cut off alone, at the smallest
 score less ten; it becomes its UTF-8 bytes. Decoding joins pieces and bytes, turns markers into spaces and drops the

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -109,6 +110,31 @@ def least_edits(item: bytes, text: bytes) -> int:
     return int(before.min())
 
 
+def test_every_item_within_its_edits_is_found(spark):
+    """Items with up to their budget of edits, and some more, planted in texts; dynamic programming says which must be found."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abdegiklmnorstu") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    items = {i: " ".join(rng.choice(words) for _ in range(rng.choice([1, 6, 15, 40]))) for i in range(24)}
+    docs = {}
+    for d in range(160):
+        item = list(items[d % 24])
+        for _ in range(rng.randrange(len(item) // decontaminate.SPACING + 3)):
+            at = rng.randrange(len(item) + 1)
+            item[at : at + rng.randrange(2)] = rng.choice(["", "x", "Q", "zz"])
+        docs[d] = " ".join([*(rng.choice(words) for _ in range(20)), "".join(item), *(rng.choice(words) for _ in range(20))])
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    found = decontaminate.report(table, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    got = {r.doc_id: set(r.item_ids) for r in found.collect()}
+    folded_items = {i: decontaminate.folded(t) for i, t in items.items()}
+    want = {}
+    for d, text in docs.items():
+        own = decontaminate.folded(text)
+        inside = {i for i, item in folded_items.items() if least_edits(item, own) <= decontaminate.budget(item)}
+        if inside:
+            want[d] = inside
+    assert got == want and 40 < len(want)
+
+
 def test_pages_against_their_markup(spark):
     import html
     import re
