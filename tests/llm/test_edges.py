@@ -194,6 +194,20 @@ def test_pairwise_ranking_recovers_an_order():
     assert ((model.scores(x) >= 0.3) == good).mean() > 0.93
 
 
+def test_quality_learns_from_every_row(spark):
+    """5,000 rows a label: the last ones count too, and moments, bins and threshold are those of all rows."""
+    rng = random.Random(6)
+    plain = [" ".join(rng.choice(["stone", "river", "cloud"]) for _ in range(rng.randint(3, 9))) + "." for _ in range(5000)]
+    noisy = [" ".join(rng.choice(["BUY", "now!!", "$$$"]) for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    rows = spark.createDataFrame([(t, 1) for t in plain] + [(t, 0) for t in noisy], "text string, quality int")
+    model = quality.train(rows)
+    x = quality.measures(pa.array(plain + noisy))
+    assert np.allclose(model.middle, x.mean(axis=0)) and np.allclose(model.edges, np.quantile(x, np.arange(1, 8) / 8, axis=0).T)
+    assert model.threshold == pytest.approx(np.quantile(model.worths(x), 300 / 5300), abs=1e-9)
+    right = (model.scores(x) >= 0.3) == np.array([True] * 5000 + [False] * 300)
+    assert right.mean() > 0.99
+
+
 def brute_viterbi(model, text):
     """Dynamic programming over the whole marked text, without chunks."""
     data = b" " + text.encode()
