@@ -272,3 +272,28 @@ def test_forest_finds_planted_outliers(spark):
     alone = forest.score(model, df.where("id = 200"), "id").first()
     assert alone.forest_score == pytest.approx(scores.loc[200])
     assert forest.train(df.limit(10), "id", ["a", "b", "c"]) is None
+
+
+def test_cluster_joins_are_not_broadcast(spark, capsys):
+    """Their tables grow with the points; the driver would build and hold each of them."""
+    rows = [(i, float(i % 7) / 10, float(i % 5) / 10) for i in range(60)]
+    points = spark.createDataFrame(rows, "id long, u double, v double")
+    density.cluster(points, "id", ["u", "v"], 0.5, 5).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_shuffles_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    from granary import session
+
+    spark.range(1000).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    size = session.input_bytes(df)
+    assert size == sum(f.stat().st_size for f in tmp_path.glob("t/*.parquet")) > 0
+    monkeypatch.setattr(session, "INPUT_BYTES", -(-size // 9))
+    count = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(count)
+    with session.small_tasks(df):
+        assert spark.conf.get(count) == "9"
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(session.TASK_BYTES)
+    assert spark.conf.get(count) == before
+    assert session.input_bytes(spark.range(3)) == 0
