@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.order_stats import quantiles
 from granary.llm.samples import fold
-from granary.llm.store import Scratch
+from granary.llm.store import Scratch, stored
 from granary.llm.text import Texts, Words, pieces
 
 BINS = 8
@@ -226,17 +226,32 @@ def _summed(blocks: DataFrame, model: QualityModel, w: np.ndarray) -> np.ndarray
     return out
 
 
-def train(rows: DataFrame, cut: float = 0.3, ridge: float = 3.0) -> QualityModel | None:
-    """Learn from all rows (columns text, quality)."""
+def measured(rows: DataFrame, *kept: str) -> DataFrame:
+    """The columns ``kept`` and x, the style measures of the column text."""
 
     def run(batches):
         for piece in pieces(batches, "text"):
-            yield pa.record_batch(
-                [piece.column("quality"), pa.array(list(measures(piece.column("text"))), pa.list_(pa.float64()))], names=["quality", "x"]
-            )
+            x = measures(piece.column("text"))
+            bounds = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+            yield pa.record_batch([*[piece.column(c) for c in kept], pa.ListArray.from_arrays(bounds, x.ravel())], names=[*kept, "x"])
+
+    fields = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in kept)
+    return rows.select(*kept, "text").mapInArrow(run, f"{fields}x array<double>")
+
 
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def train(rows: DataFrame, cut: float = 0.3, ridge: float = 3.0) -> QualityModel | None:
+    """Learn from all rows (columns text, quality)."""
+    return learn(measured(rows.withColumn("quality", F.col("quality").cast("int")), "quality"), cut, ridge)
+
+
+def learn(rows: DataFrame, cut: float = 0.3, ridge: float = 3.0) -> QualityModel | None:
+    """Learn from all rows (columns quality, x: see ``measured``)."""
     scratch = Scratch(rows.sparkSession)
-    table = scratch.stored(rows.select("quality", "text").mapInArrow(run, "quality int, x array<double>"), "measures")
+    table = scratch.stored(rows.select("quality", "x"), "measures")
     totals = {r.quality: r.n for r in table.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         scratch.drop()
@@ -257,8 +272,7 @@ def train(rows: DataFrame, cut: float = 0.3, ridge: float = 3.0) -> QualityModel
         def judged(batches):
             for batch in batches:
                 if batch.num_rows:
-                    x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-                    yield pa.record_batch([pa.array(["all"] * len(x)), pa.array(model.worths(x))], names=["scope", "worth"])
+                    yield pa.record_batch([pa.array(["all"] * batch.num_rows), pa.array(model.worths(_vectors(batch)))], names=["scope", "worth"])
 
         worths = table.select("x").mapInArrow(judged, "scope string, worth double")
         at = quantiles(worths, ["scope"], ["worth"], {"at": totals[0] / sum(totals.values())}).first()
@@ -269,25 +283,34 @@ def train(rows: DataFrame, cut: float = 0.3, ridge: float = 3.0) -> QualityModel
 
 def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     """doc_id, held_out, score, predicted for rows with columns doc_id, held_out and text."""
+    return scored(measured(docs, "doc_id", "held_out"), model)
+
+
+def scored(rows: DataFrame, model: QualityModel | None) -> DataFrame:
+    """``score`` of rows with columns doc_id, held_out and x."""
     cut = model.cut if model else 0.3
 
     def run(batches):
-        for piece in pieces(batches, "text"):
-            s = model.scores(measures(piece.column("text"))) if model else np.full(piece.num_rows, 0.5)
-            yield pa.record_batch(
-                [piece.column("doc_id"), piece.column("held_out"), pa.array(s), pa.array((s >= cut).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"],
-            )
+        for batch in batches:
+            if batch.num_rows:
+                s = model.scores(_vectors(batch)) if model else np.full(batch.num_rows, 0.5)
+                yield pa.record_batch(
+                    [batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= cut).astype(np.int32))],
+                    names=["doc_id", "held_out", "score", "predicted"],
+                )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "held_out", "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every document; only labels of folds 1 to 4 are learnt from."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """Score every document; only labels of folds 1 to 4 are learnt from.
+
+    Every text is measured once, where it lies: only the measures are stored and joined with the labels.
+    """
+    held = F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out")
+    base = docs.select(F.col(id_col).alias("doc_id"), held, F.col(text_col).alias("text"))
+    table = stored(measured(base, "doc_id", "held_out"), "measures")
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marks = marks.where((fold("doc_id") != 0) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    model = train(base.join(marks, "doc_id").select("text", "quality"))
-    held = F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out")
-    return score(base.select("doc_id", held, "text"), model)
+    return scored(table, learn(table.join(marks, "doc_id")))

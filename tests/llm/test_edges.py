@@ -185,6 +185,27 @@ def test_quality(docs, none, spark):
     assert quality.classify(none, labels).count() == 0
 
 
+def test_quality_joins_measures_with_labels_not_texts(spark, monkeypatch):
+    """A join of texts with labels would shuffle the learning texts whole."""
+    rng = random.Random(8)
+    words = ["stone", "river", "BUY", "now!!", "12", "a,b"]
+    # First and last words of their own: a first word that equals the last one of the row before it would count as repeated.
+    texts = [f"from{i} {' '.join(rng.choices(words, weights=[3, 3, i % 2 * 3, i % 2, 1, 1], k=3 + i % 11))} to{i}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, quality int")
+    seen = []
+    learn = quality.learn
+    monkeypatch.setattr(quality, "learn", lambda rows, *more: seen.append(rows) or learn(rows, *more))
+    got = sorted(((str(r.doc_id), r.score) for r in quality.classify(docs, labels).collect()))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "text#" not in plan and "MapInArrow" not in plan
+    marked = docs.join(labels, "doc_id").where(quality.fold("doc_id") != 0)
+    held = docs.selectExpr("doc_id", "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, false) as held_out", "text")
+    model = quality.train(marked.select("text", "quality"))
+    want = sorted((str(r.doc_id), r.score) for r in quality.score(held, model).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-6)
+
+
 def test_pairwise_ranking_recovers_an_order():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 4))
