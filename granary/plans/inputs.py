@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators.features import outlet_features, with_baseline
+from granary.operators.features import outlet_features, region_baseline, with_baseline
 from granary.operators.statistical import score_outlets
 from granary.plans.memo import remembered
 from granary.session import stored
@@ -20,9 +20,9 @@ LIMITS = {"ceiling": CEILING, "phantom_rate": 0.50, "ghost_rate": 0.20, "ghost_m
 RULE_LIMITS = {**LIMITS, "low_rate": 0.25, "low_min_cards": 20, "spike_factor": 1.2}
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder; survives the loss of any executor."""
-    return stored(df)
+def keep(df: DataFrame, *reads: DataFrame) -> DataFrame:
+    """Materialise in the shared folder; survives the loss of any executor. ``reads``: see ``small_tasks``."""
+    return stored(df, reads=reads)
 
 
 @remembered
@@ -39,7 +39,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@remembered
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep(region_baseline(features(spark, sf_dir)))
+
+
 @remembered
 def scored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features with the baseline of their region, the robust z of each signal and the composite score."""
-    return keep(score_outlets(with_baseline(features(spark, sf_dir))))
+    return keep(score_outlets(with_baseline(features(spark, sf_dir), baseline(spark, sf_dir))))

@@ -236,11 +236,11 @@ def q_vul_summary(spark, d):
        {r("count(*) filter (distance_km <= 10) / count(*)::double * 100.0::double", 1)} as pct_in_reach from dist""",
 )
 def q_kpi_access(spark, d):
-    row = rp.kpis(
+    tables = (
         fixtures.outlets(spark, d),
         fixtures.members(spark, d),
         fixtures.lifts(spark, d),
         rule_and_statistical_alerts(spark, d),
         ge.access_summary(distances(spark, d), REACH),
     )
-    return row.select("outlets", "members", "pct_in_reach")
+    return inputs.keep(rp.kpis(*tables).select("outlets", "members", "pct_in_reach"), *tables[1:])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.operators import alerts as al
 from granary.operators import cards as ca
 from granary.operators import reports as rp
+from granary.plans import inputs
 from granary.plans.queries_fraud import ALERT_CTES, rule_and_statistical_alerts
 from granary.plans.registry import query
 from granary.plans.sql import LIFTS, MEMBERS, OUTLETS, with_
@@ -258,9 +259,8 @@ KPI = f"""kpi as (select (select count(*) from outlets) as outlets, (select coun
 
 
 def kpi_frame(spark, d):
-    return rp.kpis(
-        fixtures.outlets(spark, d), fixtures.members(spark, d), fixtures.lifts(spark, d), rule_and_statistical_alerts(spark, d)
-    )
+    tables = fixtures.outlets(spark, d), fixtures.members(spark, d), fixtures.lifts(spark, d), rule_and_statistical_alerts(spark, d)
+    return inputs.keep(rp.kpis(*tables), *tables[1:])
 
 
 @query("kpi_row", "V1", with_(*ALERT_CTES, OUTLETS, MEMBERS, KPI) + "select * from kpi")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from granary.functions.nearest import Pyramid, distinct_points
 from granary.functions.order_stats import gini, quantiles, rank_descending, running_total
 from granary.operators import density, forecast, forest, geo, graph, planning
+from granary.plans.catalog import QUERIES
 
 
 def km(a, b):
@@ -297,3 +298,26 @@ def test_shuffles_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatc
         assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(session.TASK_BYTES)
     assert spark.conf.get(count) == before
     assert session.input_bytes(spark.range(3)) == 0
+
+
+def test_frames_behind_subqueries_count_for_the_partitions(spark, tmp_path):
+    from granary import session
+
+    spark.range(1000).write.parquet(str(tmp_path / "big"))
+    big = spark.read.parquet(str(tmp_path / "big"))
+    row = spark.range(1).withColumn("n", big.agg(F.count(F.lit(1))).scalar())
+    key = "spark.sql.shuffle.partitions"
+    size = session.INPUT_BYTES
+    try:
+        session.INPUT_BYTES = 16
+        with session.small_tasks(row, [big]):
+            assert int(spark.conf.get(key)) >= session.input_bytes(big) // 16 > 64
+    finally:
+        session.INPUT_BYTES = size
+
+
+@pytest.mark.parametrize("name", ["region_baseline", "reports_with_master", "forecast_error_monitor", "kpi_row", "kpi_row_with_access"])
+def test_results_come_from_small_tasks(spark, name):
+    """A join or grouping left to the caller runs with the session's number of partitions, however large the tables."""
+    plan = QUERIES[name].plan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Join", "Aggregate", "Window", "subquery"))
