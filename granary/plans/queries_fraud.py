@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from granary.operators import alerts as al
 from granary.operators import rules as ru
 from granary.operators import statistical as st
-from granary.operators.features import outlet_features, region_baseline, tukey_share
+from granary.operators.features import outlet_features, tukey_share
 from granary.plans import inputs
 from granary.plans.memo import remembered
 from granary.plans.registry import query
@@ -103,7 +103,7 @@ BASELINE_COLUMNS = [f"{c}_{p}" for c in ("staple_per_card", "collection_rate", "
     doubles=[*BASELINE_COLUMNS, "grain_zero_share"],
 )
 def q_baseline(spark, d):
-    return region_baseline(inputs.features(spark, d)).select("region", *BASELINE_COLUMNS, "grain_zero_share")
+    return inputs.baseline(spark, d).select("region", *BASELINE_COLUMNS, "grain_zero_share")
 
 
 Z = ["staple_z", "rate_z", "fuel_z", "grain_z"]

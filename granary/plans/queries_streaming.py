@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from granary.operators import forecast as fc
-from granary.operators.features import region_baseline
 from granary.plans import inputs
 from granary.plans.queries_forecast import SERIES, TEST, series, tested
 from granary.plans.queries_reports import EVENTS
@@ -67,11 +66,11 @@ def q_sessions(spark, d):
 )
 def q_master(spark, d):
     features = inputs.features(spark, d)
-    joined = sr.with_master(
-        features.drop("region"), fixtures.outlets(spark, d), region_baseline(features)
-    )
-    return joined.select(
-        "outlet_id", "region", "is_active", (F.col("staple_per_card") > F.col("staple_per_card_p95")).alias("above_p95")
+    joined = sr.with_master(features.drop("region"), fixtures.outlets(spark, d), inputs.baseline(spark, d))
+    return inputs.keep(
+        joined.select(
+            "outlet_id", "region", "is_active", (F.col("staple_per_card") > F.col("staple_per_card_p95")).alias("above_p95")
+        )
     )
 
 
@@ -238,7 +237,7 @@ def q_stream_master(spark, d):
     folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
     reports.repartition(4, "outlet_id").write.parquet(folder)
     stream = sr.file_stream(spark, folder, reports.schema, files_per_trigger=1)
-    joined = sr.with_master(stream, fixtures.outlets(spark, d), region_baseline(features))
+    joined = sr.with_master(stream, fixtures.outlets(spark, d), inputs.baseline(spark, d))
     return _run(
         spark,
         joined.select("outlet_id", "region", "is_active", (F.col("staple_per_card") > F.col("staple_per_card_p95")).alias("above_p95")),
