@@ -82,7 +82,7 @@ def q_master(spark, d):
        avg(abs((actual - predicted) / actual)) > 0.15 as retrain from tested where actual <> 0 group by 1, 2, 3""",
 )
 def q_monitor(spark, d):
-    return sr.error_summary(sr.error_rows(*_feeds(spark, d)))
+    return inputs.keep(sr.error_summary(sr.error_rows(*_feeds(spark, d))))
 
 
 def _feeds(spark, d):
