@@ -321,3 +321,48 @@ def test_results_come_from_small_tasks(spark, name):
     """A join or grouping left to the caller runs with the session's number of partitions, however large the tables."""
     plan = QUERIES[name].plan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not any(step in plan for step in ("Join", "Aggregate", "Window", "subquery"))
+
+
+def _write(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_lifts_broadcast_nothing_that_grows(spark, tmp_path):
+    """Orders, parts and customers grow with the lineitems; only the nations are few. Keys may repeat or be null."""
+    from granary.sources import fixtures
+
+    d = str(tmp_path)
+    _write(spark, d, "nation", [(0, "N0"), (1, "N1")], "n_nationkey long, n_name string")
+    _write(spark, d, "customer", [(1, 0, 1.0), (2, 1, 1.0), (2, 1, -1.0), (None, 0, 0.0)], "c_custkey long, c_nationkey long, c_acctbal double")
+    _write(spark, d, "part", [(1, "ECONOMY"), (2, "PROMO"), (2, "SMALL"), (None, "LARGE")], "p_partkey long, p_type string")
+    _write(spark, d, "orders", [(10, 1), (11, 2), (12, None), (None, 1)], "o_orderkey long, o_custkey long")
+    when = dt.datetime(2000, 1, 2)
+    lines = [(10, 1, 5, 2.0, when, "R"), (10, 2, 6, 3.0, when, "N"), (11, 2, 7, 4.0, when, "N"), (12, 1, 5, 1.0, when, "N"), (None, None, None, None, None, None)]
+    _write(spark, d, "lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_shipdate timestamp, l_returnflag string")
+    lifts = fixtures.lifts(spark, d)
+    plan = lifts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 3
+    got = sorted(tuple(r) for r in lifts.select("outlet_id", "region", "item", "card_id", "txn_id", "quantity", "verified").collect())
+    twice = [("2", "N1", "PROMO", "7", 11, 0.0, True), ("2", "N1", "SMALL", "7", 11, 4.0, True)]
+    assert got == [
+        ("1", "N0", "ECONOMY", "5", 10, 2.0, False), ("1", "N0", "PROMO", "6", 10, 3.0, True), ("1", "N0", "SMALL", "6", 10, 3.0, True),
+        *[row for row in twice for _ in range(2)],
+    ]
+
+
+def test_underused_outlets_broadcast_no_outlets(spark):
+    """Only the few upper cells of the pyramid are sent to all executors."""
+    rng = random.Random(7)
+    rows = [(str(i), "r", rng.uniform(10, 11), rng.uniform(70, 71), i % 3 > 0, rng.random(), 5) for i in range(300)]
+    used = spark.createDataFrame(rows, "outlet_id string, region string, latitude double, longitude double, is_active boolean, utilisation double, total_cards long")
+    found = geo.underused_outlets(used, within_km=6.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    # Levels 2 and 4 on the way down; all other joins are merged.
+    assert physical.count("BroadcastHashJoin") <= 2
+    active = [(r[0], r[2:4]) for r in rows if r[4]]
+    want = {r[0]: min(km(r[2:4], p) for i, p in active if i != r[0]) for r in rows if r[5] < geo.LOW_USE}
+    got = {r.outlet_id: r.nearest_km for r in found.collect()}
+    assert got.keys() == {i for i, x in want.items() if x <= 6.0}
+    assert all(abs(got[i] - want[i]) < 0.006 for i in got)
