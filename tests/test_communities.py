@@ -107,3 +107,36 @@ def test_rings_of_two_linked_groups(spark):
     assert sorted((r.n_cards, r.n_outlets, r.n_edges, r.total, r.multi_share, r.density) for r in rings) == [(4, 3, 12, 36, 1.0, 1.0)] * 2
     members = {r.vertex: r.community for r in parts.collect()}
     assert {v[2] for v, c in members.items() if c == members["c:c00"]} == {"c", "s"} and members["c:c00"] != members["s:s10"]
+
+
+def test_rounds_on_few_vertices_hardly_shuffle(spark, monkeypatch):
+    plans, keep = [], modularity.stored
+
+    def spy(df, name):
+        if name == "roots":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(modularity, "stored", spy)
+    rows = [(f"v{i:02d}", f"v{j:02d}", 1 + (i * j) % 3) for i in range(9) for j in range(i) if i % 3 == j % 3 or (i + j) % 9 == 0]
+    modularity.communities(spark.createDataFrame(rows, "a string, b string, weight long"), passes=0).collect()
+    # Only the join with the strengths of the merged communities.
+    assert len(plans) > 1 and all(p.count("Exchange hashpartitioning") <= 2 for p in plans)
+
+
+def test_ranks_shuffle_once_a_round(spark, monkeypatch):
+    plans, keep = [], graph.cut
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(graph, "cut", spy)
+    rows = [("a", "b", "x", 1), ("a", "c", "x", 2), ("c", "d", "x", 1), ("e", "f", "y", 3)]
+    ranks = graph.community_rank(spark.createDataFrame(rows, "a string, b string, community string, weight long"), cut_every=5)
+    total = {}
+    for r in ranks.collect():
+        total[r.community] = total.get(r.community, 0.0) + r.rank
+    assert {c: round(x, 9) for c, x in total.items()} == {"x": 1.0, "y": 1.0}
+    # Five rounds: the ranks that come in, one grouping a round, and the links, which Spark shuffles once and reads again.
+    assert len(plans) > 2 and all(p.count("Exchange hashpartitioning") <= 1 + 5 + 5 for p in plans[2:])
