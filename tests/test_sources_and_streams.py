@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +195,45 @@ def test_escalation_counts_only_earlier_flags(spark):
     )
     got = {r.alert_id: (r.earlier_flags, r.context) for r in escalate(alerts, history).collect()}
     assert got == {"x": (1, "repeat"), "y": (0, "first")}
+
+
+def _months(spark):
+    actuals = spark.createDataFrame(
+        [("o1", "i", dt.datetime(2024, m, 1), 10.0 * m) for m in range(1, 7)], "outlet_id string, item string, actual_at timestamp, actual double"
+    )
+    told = spark.createDataFrame(
+        [("o1", "i", "m", dt.datetime(2024, m, 1), 8.0 * m) for m in range(3, 7)],
+        "outlet_id string, item string, model string, forecast_at timestamp, predicted double",
+    )
+    return actuals, told
+
+
+def test_a_stream_may_take_longer_than_a_stall(spark, tmp_path):
+    rows = _months(spark)[0]
+    for i in range(7):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    seen = []
+
+    def slow(batch, number):
+        time.sleep(1.2)
+        seen.append(batch.count())
+
+    stream = reports.file_stream(spark, str(tmp_path / "feed"), rows.schema, files_per_trigger=1)
+    reports.drain(stream.writeStream.foreachBatch(slow).option("checkpointLocation", str(tmp_path / "state")), 5)
+    assert seen == [6] * 7
+
+
+def test_state_of_a_join_on_disk_gives_the_rows_of_the_batch(spark, tmp_path):
+    tables, streams = _months(spark), []
+    for i, df in enumerate(tables):
+        df.coalesce(1).write.parquet(str(tmp_path / f"feed{i}"))
+        streams.append(reports.file_stream(spark, str(tmp_path / f"feed{i}"), df.schema, files_per_trigger=1))
+    joined = reports.error_rows(*streams)
+    home, key = str(tmp_path / "out"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    with reports.state_on_disk(spark):
+        reports.drain(joined.writeStream.format("parquet").option("path", home).option("checkpointLocation", str(tmp_path / "state")))
+    assert spark.conf.get(key, None) == before
+    assert (tmp_path / "state" / "state" / "0" / "0").exists() and [*(tmp_path / "state").rglob("*.changelog")] + [*(tmp_path / "state").rglob("*.zip")]
+    got = spark.read.schema(joined.schema).parquet(home)
+    assert sorted(got.collect()) == sorted(reports.error_rows(*tables).collect()) and got.count() == 4
